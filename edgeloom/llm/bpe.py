@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import os
-from collections.abc import Callable, Iterable, Iterator
+import json
+import re
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
 
@@ -17,12 +19,15 @@ from pyspark.sql import functions as F
 
 from edgeloom.llm._common import strings
 
-os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-
 #: Different pieces whose ids a worker remembers, and the longest piece that it remembers.
-MEMO_PIECES, MEMO_LENGTH = 600_000, 48
+MEMO_PIECES, MEMO_LENGTH = 1_000_000, 48
 #: Characters of text that are split at once.
 CHUNK = 1 << 20
+#: Fixed value: the pattern of the vocabulary's pieces.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for texts of NOT_PLAIN's other characters, where \w is a letter, a digit or the underscore; re is faster.
+PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+NOT_PLAIN = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0250-\U0010ffff]")
 
 
 def byte_characters() -> dict[int, str]:
@@ -46,13 +51,16 @@ class Vocabulary:
     """
 
     def __init__(self, path: str, pattern: str):
-        from tokenizers import Tokenizer, models, pre_tokenizers
+        from tokenizers import models
 
         chars = byte_characters()
         if path.endswith(".json"):
-            self.tokenizer = Tokenizer.from_file(path)
-            self.tokenizer.encode_special_tokens = True
-            vocab = self.tokenizer.get_vocab()
+            with open(path, encoding="utf-8") as file:
+                stored = json.load(file)
+            vocab = stored["model"]["vocab"]
+            merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in stored["model"]["merges"]]
+            self.model = models.BPE(vocab=vocab, merges=merges, cache_capacity=0, ignore_merges=bool(stored["model"].get("ignore_merges")))
+            vocab = vocab | {t["content"]: t["id"] for t in stored.get("added_tokens", [])}
         else:
             ranks = read_ranks(path)
             shown = {token: "".join(chars[b] for b in token) for token in ranks}
@@ -61,8 +69,8 @@ class Vocabulary:
                 cuts = [(token[:i], token[i:]) for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
                 merges += [(shown[a], shown[b]) for a, b in sorted(cuts, key=lambda x: (ranks[x[0]], ranks[x[1]]))]
             vocab = {shown[token]: rank for token, rank in ranks.items()}
-            self.tokenizer = Tokenizer(models.BPE(vocab=vocab, merges=merges, ignore_merges=True))
-        self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.model = models.BPE(vocab=vocab, merges=merges, cache_capacity=0, ignore_merges=True)
+        self.shown = str.maketrans({chr(b): c for b, c in chars.items()})
         back = {c: b for b, c in chars.items()}
         self.size = max(vocab.values()) + 1
         self.bytes = [b""] * self.size
@@ -70,6 +78,7 @@ class Vocabulary:
             self.bytes[i] = bytes(back[c] for c in shown_token) if all(c in back for c in shown_token) else shown_token.encode()
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
         self.pattern = regex.compile(pattern)
+        self.plain = re.compile(PLAIN_PATTERN) if pattern == PATTERN else None
         self.memo: dict[str, bytes] = {}
 
     def _pieces(self, text: str) -> Iterator[list[str]]:
@@ -80,28 +89,44 @@ class Vocabulary:
             while some := list(islice(found, CHUNK // 8)):
                 yield some
 
-    def _learn(self, pieces: Iterable[str]) -> dict[str, bytes]:
-        """The ids of pieces that aren't remembered; they are from now on, unless they are long."""
-        if len(self.memo) > MEMO_PIECES:
-            self.memo.clear()
+    def _encode_pieces(self, cut: list[list[str]]) -> list[bytes]:
+        """The ids of lists of pieces; the library gets those that aren't remembered, each once."""
         memo = self.memo
-        new = list({p for p in pieces if p not in memo})
-        ids = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        found = dict(zip(new, ids, strict=True))
-        self.memo.update((p, x) for p, x in found.items() if len(p) <= MEMO_LENGTH)
-        return found
+        if len(memo) > MEMO_PIECES:
+            memo.clear()
+        found = [list(map(memo.get, pieces)) for pieces in cut]
+        long, tokenize, shown = [], self.model.tokenize, self.shown
+        for k, (pieces, ids) in enumerate(zip(cut, found, strict=True)):
+            if None in ids:
+                for p, known in zip(pieces, ids, strict=True):
+                    if known is None and p not in memo:
+                        memo[p] = array("I", [t.id for t in tokenize(p.encode().decode("latin-1").translate(shown))]).tobytes()
+                        if len(p) > MEMO_LENGTH:
+                            long.append(p)
+                found[k] = map(memo.__getitem__, pieces)
+        out = [b"".join(ids) for ids in found]
+        for p in long:
+            del memo[p]
+        return out
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit integers; about CHUNK characters at a time."""
+        cut, held = [], 0
+        for text in texts:
+            if len(text) > CHUNK:
+                yield from self._encode_pieces(cut)
+                cut, held = [], 0
+                yield b"".join([self._encode_pieces([pieces])[0] for pieces in self._pieces(text)])
+                continue
+            cut.append((self.pattern if self.plain is None or NOT_PLAIN.search(text) else self.plain).findall(text))
+            held += len(text)
+            if held > CHUNK:
+                yield from self._encode_pieces(cut)
+                cut, held = [], 0
+        yield from self._encode_pieces(cut)
 
     def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        out = []
-        for pieces in self._pieces(text):
-            try:
-                out.append(b"".join([self.memo[p] for p in pieces]))
-            except KeyError:
-                known = self._learn(pieces)
-                memo = self.memo
-                out.append(b"".join([known[p] if p in known else memo[p] if p in memo else self._learn([p])[p] for p in pieces]))
-        return out[0] if len(out) == 1 else b"".join(out)
+        return next(self.encode_all([text]))
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes that ids stand for. A character may be split over ids, so only the whole is UTF-8."""
@@ -156,8 +181,9 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part, ids, begins, ends = batch.slice(lo, 256), [], [], []
-                for t in strings(part.column(1)):
-                    ids.append(v.encode(t))
+                texts = strings(part.column(1))
+                for t, encoded in zip(texts, v.encode_all(texts), strict=True):
+                    ids.append(encoded)
                     b, e = v.offsets(ids[-1], t.encode())
                     begins.append(b.astype(np.int32))
                     ends.append(e.astype(np.int32))
@@ -194,8 +220,7 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
         v = vocabulary(path, pattern)
         for batch in batches:
             rows = []
-            for t in strings(batch.column(1)):
-                ids = v.encode(t)
+            for ids in v.encode_all(strings(batch.column(1))):
                 rows.append((len(ids) // 4, sha(ids), sha(v.decode(ids))))
             n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -206,12 +231,11 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
 def counted(docs: DataFrame, path: str | None = None, pattern: str | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_tokens) of every document, without the ids."""
     path, pattern = path or default_path("byte_bpe_50k.json"), pattern or default_pattern()
-    count: Callable[[Vocabulary, str], int] = lambda v, t: len(v.encode(t)) // 4
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, pattern)
         for batch in batches:
-            n = [count(v, t) for t in strings(batch.column(1))]
+            n = [len(ids) // 4 for ids in v.encode_all(strings(batch.column(1)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
     return _slim(docs, text, doc_id).mapInArrow(run, "doc_id long, n_tokens long")

@@ -20,7 +20,7 @@ BLOCK_IDS = 1 << 20
 ROUNDS, ROUND_RULES, LEAST = 3, 4000, 16
 
 #: Pairs are counted in so many slots, by the top bits of a product with an odd number.
-SLOT_BITS, MIX = 20, np.uint64(0x9E3779B97F4A7C15)
+SLOT_BITS, MIX = 20, {32: np.uint32(0x9E3779B1), 64: np.uint64(0x9E3779B97F4A7C15)}
 
 SCHEMA = "shard int, block int, n_ids long, doc_ids array<long>, sizes array<long>, first_rule long, levels array<int>, rules binary, lengths binary, width int, body binary"
 
@@ -31,14 +31,17 @@ def compress(ids: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray,
     Every round counts all pairs, gives the most frequent ones a nonterminal each and replaces them from left to
     right; pairs of a round may hold the nonterminals of earlier rounds only.
     """
-    seq, rules, levels = ids.astype(np.int64), [], []
+    small = first_rule + ROUNDS * ROUND_RULES <= 1 << 16  # then a pair is one 32-bit number
+    kind, bits = (np.uint32, 32) if small else (np.uint64, 64)
+    half = kind(bits // 2)
+    seq, rules, levels = ids.astype(np.uint16 if small else np.uint32), [], []
     symbols = first_rule
     for _ in range(ROUNDS):
         if len(seq) < 2 * LEAST:
             break
-        pair = seq[:-1] * symbols + seq[1:]
-        slot = ((pair.view(np.uint64) * MIX) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
-        held = np.zeros(1 << SLOT_BITS, np.int64)
+        pair = seq[:-1].astype(kind) << half | seq[1:]
+        slot = ((pair * MIX[bits]) >> kind(bits - SLOT_BITS)).astype(np.int64)
+        held = np.zeros(1 << SLOT_BITS, kind)
         held[slot] = pair  # of pairs that share a slot, the last one is counted
         ours = held[slot] == pair
         counts = np.bincount(slot[ours], minlength=len(held))
@@ -48,18 +51,18 @@ def compress(ids: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray,
         if len(often) > ROUND_RULES:
             often = np.sort(often[np.argsort(-counts[often], kind="stable")[:ROUND_RULES]])
         chosen = held[often]
-        rank = np.full(len(held), -1, np.int64)
+        rank = np.full(len(held), -1, np.int32)
         rank[often] = np.arange(len(often))
         at = rank[slot]
         hit = np.flatnonzero(ours & (at >= 0))
         run = np.append(True, np.diff(hit) != 1)  # of overlapping pairs, every other one from the left
         head = np.maximum.accumulate(np.where(run, np.arange(len(hit)), 0))
         hit = hit[(np.arange(len(hit)) - head) % 2 == 0]
-        seq[hit] = symbols + at[hit]
+        seq[hit] = (symbols + at[hit]).astype(seq.dtype)
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
         seq = seq[keep]
-        rules.append(np.stack([chosen // symbols, chosen % symbols], axis=1))
+        rules.append(np.stack([chosen >> half, chosen & kind((1 << bits // 2) - 1)], axis=1).astype(np.int64))
         levels.append(len(chosen))
         symbols += len(chosen)
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), levels
@@ -113,7 +116,7 @@ def read_ids(block: dict, begin: int, end: int) -> np.ndarray:
 def _block_row(shard: int, block: int, doc_ids: list, ids: list[bytes], first_rule: int) -> pa.RecordBatch:
     whole = np.frombuffer(b"".join(ids), "<u4")
     body, rules, levels = compress(whole, first_rule)
-    width = 2 if first_rule + len(rules) <= 1 << 16 else 4
+    width = body.itemsize
     lengths = expansion_lengths(rules, levels, first_rule)
     one = {
         "shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int32()), "n_ids": pa.array([len(whole)], pa.int64()),
@@ -142,9 +145,9 @@ def write_store(docs: DataFrame, target: str, path: str | None = None, pattern:
         v, shard = vocabulary(path, pattern), TaskContext.get().partitionId()
         end, block, doc_ids, ids, held = np.array([end_id], "<u4").tobytes(), 0, [], [], 0
         for batch in batches:
-            for one, t in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
+            for one, encoded in zip(batch.column(0).to_pylist(), v.encode_all(strings(batch.column(1))), strict=True):
                 doc_ids.append(one)
-                ids.append(v.encode(t) + end)
+                ids.append(encoded + end)
                 held += len(ids[-1]) // 4
                 if held >= BLOCK_IDS:
                     yield _block_row(shard, block, doc_ids, ids, v.size)
