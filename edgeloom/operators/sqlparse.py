@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from edgeloom.functions.canonical import SPELLED
 
 TOKEN = re.compile(
-    r"""(?P<space>\s+|--[^\n]*|/\*.*?\*/)|(?P<string>[rRbBxX]?'(?:[^'\\]|\\.|'')*')|(?P<quoted>`(?:[^`]|``)*`|"(?:[^"\\]|\\.|"")*")|(?P<bracket>\[[A-Za-z_][^\]\n,()']*\])|(?P<number>\d+(?:\.\d*)?(?:[eE][+-]?\d+)?|\.\d+)|(?P<word>[^\W\d][\w$]*)|(?P<holder>\$\{[^}]*\}|\{\{.*?\}\}|\{[^}]*\}|[:@?%]\w+|\?)|(?P<op><=>|<>|!=|==|<=|>=|\|\||->|=>|::|[-+*/%=<>(),.;\[\]:&|^~!])|(?P<other>.)""",
+    r"""(?P<space>\s+|--[^\n]*|/\*.*?\*/)|(?P<string>[rRbBxX]?'(?:[^'\\]|\\.|'')*')|(?P<quoted>`(?:[^`]|``)*`|"(?:[^"\\]|\\.|"")*")|(?P<bracket>\[[A-Za-z_][^\]\n,()']*\])|(?P<number>\d+(?:\.\d*)?(?:[eE][+-]?\d+)?|\.\d+)|(?P<word>[^\W\d][\w$]*)|(?P<holder>\$\{[^}]*\}|\{\{.*?\}\}|\{[^}]*\}|[:@?]\w+|%s\b|\?)|(?P<op><=>|<>|!=|==|<=|>=|\|\||->|=>|::|[-+*/%=<>(),.;\[\]:&|^~!])|(?P<other>.)""",
     re.S,
 )
 #: Words that end an expression or an alias.
@@ -62,6 +62,7 @@ class Query:
     branches: list[Query] = field(default_factory=list)
     inner: list[Query] = field(default_factory=list)  # queries inside expressions
     merge: tuple | None = None
+    recursive: bool = False  # a CTE that may name itself
 
 
 def tokens_of(text: str, line: int = 1) -> list[Token]:
@@ -170,7 +171,7 @@ class Parser:
         outer, self.inner = self.inner, []
         ctes: dict[str, Query] = {}
         if self.take("with"):
-            self.take("recursive")
+            recursive = self.take("recursive")
             while True:
                 name = (self.name() or "").lower()
                 if self.op("("):
@@ -180,6 +181,7 @@ class Parser:
                 self.take("materialized")
                 self.need("(")
                 ctes[name] = self.query()
+                ctes[name].recursive = recursive
                 self.need(")")
                 if not self.take(","):
                     break
@@ -430,8 +432,8 @@ class Parser:
             elif self.op(".") and x[0] not in ("col", "star", "lit"):
                 self.i += 1
                 self.name()
-            elif self.op(":") and self.peek(1).kind in ("word", "quoted"):
-                self.i += 2
+            elif x[0] != "lit" and self.peek().kind == "holder" and self.peek().text[0] == ":":  # a path into JSON
+                self.i += 1
             elif self.word("over", "filter", "within"):
                 while self.word("over", "filter", "within", "group"):
                     self.i += 1
