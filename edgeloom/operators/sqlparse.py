@@ -127,10 +127,7 @@ class Parser:
         """The query of a statement; a MERGE is one over its two relations; None if it has no query."""
         if self.word("merge"):
             return self.merge()
-        while self.peek().kind != "end" and not (self.word("select", "with", "from") or self.op("(")):
-            if self.word("update") or self.word("delete"):
-                self.i += 1
-                continue
+        while self.peek().kind != "end" and not (self.word("select", "with") or (self.word("from") and not self.i) or self.op("(")):
             self.i += 1
         if self.op("("):  # a column list of an INSERT, or a query in parentheses
             if not (self.peek(1).kind == "word" and self.peek(1).low in ("select", "with", "from", "(")):
