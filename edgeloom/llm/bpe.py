@@ -5,11 +5,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-import re
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,15 +17,60 @@ from pyspark.sql import functions as F
 
 from edgeloom.llm._common import strings
 
-#: Different pieces whose ids a worker remembers, and the longest piece that it remembers.
+#: Different pieces whose ids a worker remembers, and the most bytes of a piece that it remembers.
 MEMO_PIECES, MEMO_LENGTH = 600_000, 48
-#: Characters of text that are split at once.
-CHUNK = 1 << 20
+#: Slots of the table of remembered pieces (a power of two, several times their number).
+SLOTS = 1 << 21
+#: Characters of text that are encoded at once.
+CHUNK = 1 << 19
 #: Fixed value: the pattern of the vocabulary's pieces.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The same for texts of NOT_PLAIN's other characters, where \w is a letter, a digit or the underscore; re is faster.
-PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
-NOT_PLAIN = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0250-\U0010ffff]")
+LETTER, NUMBER, BLANK = 1, 2, 3
+
+
+@lru_cache(maxsize=1)
+def character_classes() -> np.ndarray:
+    """LETTER, NUMBER, BLANK or 0 for every code point, as the pattern's classes have them."""
+    out = np.zeros(0x110000, np.uint8)
+    everything = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
+    for kind, name in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (BLANK, r"\s+")):
+        for m in regex.finditer(name, everything):
+            out[np.frombuffer(m.group().encode("utf-32-le"), "<u4")] = kind
+    return out
+
+
+def piece_starts(code: np.ndarray, opens: np.ndarray) -> np.ndarray:
+    """Where PATTERN's pieces begin in the code points of texts that follow each other; opens marks their first ones.
+
+    A run of letters, numbers or other signs is a piece, with the one U+0020 before it. Of a run of blanks, all but
+    the last are a piece; the last one is too, unless it is that U+0020; at the end of a text the whole run is. An
+    apostrophe that begins a piece takes s, t, m, d, re, ve or ll with it."""
+    kind = character_classes()[code]
+    n = len(code)
+    blank = kind == BLANK
+    begins = np.ones(n, bool)  # of runs
+    begins[1:] = kind[1:] != kind[:-1]
+    begins |= opens
+    closes = np.append(opens[1:], True)
+    last_blank = blank & ~closes
+    last_blank[:-1] &= ~blank[1:]
+    after_space = np.zeros(n, bool)
+    after_space[1:] = code[:-1] == 32
+    after_space &= ~opens & ~blank
+    starts = (begins & ~after_space) | last_blank
+    quote = np.flatnonzero((code == 39) & starts & ~closes)
+    if len(quote):
+        one = code[quote + 1]
+        two = np.where(~closes[quote + 1], code[np.minimum(quote + 2, n - 1)], 0)
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        long = np.zeros(len(quote), bool)
+        for a, b in ("re", "ve", "ll"):
+            long |= (one == ord(a)) & (two == ord(b))
+        hit = short | long
+        quote, end = quote[hit], quote[hit] + np.where(short[hit], 2, 3)
+        starts[quote + 1] = False
+        starts[end[end < n]] = True
+    return starts
 
 
 def byte_characters() -> dict[int, str]:
@@ -45,9 +88,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Vocabulary:
     """A byte-level BPE vocabulary, from a tiktoken file of ranks or from a tokenizers JSON file.
 
-    A text is cut into pieces by the pattern; every piece is encoded by the tokenizers library on its own, once while
-    the worker remembers it. Piece by piece gives what the library gives for the whole text, as its model never
-    merges across pieces.
+    Texts are cut into pieces by the pattern; every piece is encoded by the library's model on its own, once while the
+    worker remembers it, which gives what the library gives for the whole text, as it never merges across pieces.
+    Pieces are told apart by a 64-bit tabulation hash of their bytes; what is remembered is a table of hashes, in
+    arrays, that is emptied when it holds MEMO_PIECES.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -77,53 +121,134 @@ class Vocabulary:
         for shown_token, i in vocab.items():
             self.bytes[i] = bytes(back[c] for c in shown_token) if all(c in back for c in shown_token) else shown_token.encode()
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
-        self.pattern = regex.compile(pattern)
-        self.plain = re.compile(PLAIN_PATTERN) if pattern == PATTERN else None
-        self.memo: dict[str, bytes] = {}
-
-    def _pieces(self, text: str) -> Iterator[list[str]]:
-        if len(text) <= CHUNK:
-            yield self.pattern.findall(text)
-        else:
-            found = (m.group() for m in self.pattern.finditer(text))
-            while some := list(islice(found, CHUNK // 8)):
-                yield some
-
-    def _encode_pieces(self, cut: list[list[str]]) -> list[bytes]:
-        """The ids of lists of pieces; the library gets those that aren't remembered, each once."""
-        memo = self.memo
-        if len(memo) > MEMO_PIECES:
-            memo.clear()
-        found = [list(map(memo.get, pieces)) for pieces in cut]
-        long, tokenize, shown = [], self.model.tokenize, self.shown
-        for k, (pieces, ids) in enumerate(zip(cut, found, strict=True)):
-            if None in ids:
-                for p, known in zip(pieces, ids, strict=True):
-                    if known is None and p not in memo:
-                        memo[p] = array("I", [t.id for t in tokenize(p.encode().decode("latin-1").translate(shown))]).tobytes()
-                        if len(p) > MEMO_LENGTH:
-                            long.append(p)
-                found[k] = map(memo.__getitem__, pieces)
-        out = [b"".join(ids) for ids in found]
-        for p in long:
-            del memo[p]
+        self.pattern = None if pattern == PATTERN else regex.compile(pattern)
+        self.random = np.random.default_rng(1).integers(1 << 63, size=MEMO_LENGTH * 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys = np.zeros(SLOTS, np.uint64)  # 0: nothing
+        self.values = np.zeros(SLOTS, np.int32)
+        self.pool = array("I")
+        self.begins, self.sizes = array("q"), array("i")
+
+    def _remember(self, piece: bytes) -> int:
+        """Encodes a piece; where its ids are kept."""
+        ids = [t.id for t in self.model.tokenize(piece.decode("latin-1").translate(self.shown))]
+        self.begins.append(len(self.pool))
+        self.sizes.append(len(ids))
+        self.pool.extend(ids)
+        return len(self.sizes) - 1
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The values of hashes, -1 for unknown ones."""
+        slot = (h >> np.uint64(43)).astype(np.int64)
+        out = np.where(self.keys[slot] == h, self.values[slot], np.int32(-1))
+        open_ = np.flatnonzero((out < 0) & (self.keys[slot] != 0))
+        while len(open_):  # the slot was another's: go on to the next
+            slot[open_] = (slot[open_] + 1) & (SLOTS - 1)
+            key = self.keys[slot[open_]]
+            same = key == h[open_]
+            out[open_[same]] = self.values[slot[open_[same]]]
+            open_ = open_[~same & (key != 0)]
         return out
 
+    def _store(self, h: int, value: int) -> None:
+        slot = h >> 43
+        while self.keys[slot]:
+            slot = (slot + 1) & (SLOTS - 1)
+        self.keys[slot], self.values[slot] = h, value
+
+    def _starts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(begins, code): where pieces begin in the joined texts, and their code points."""
+        code = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+        if self.pattern is None:
+            opens = np.zeros(len(code), bool)
+            opens[np.cumsum([0, *map(len, texts)])[:-1]] = True
+            return np.flatnonzero(piece_starts(code, opens)), code
+        sizes = [len(p) for t in texts for p in self.pattern.findall(t)]
+        return np.cumsum([0, *sizes])[:-1].astype(np.int64), code
+
+    def _encode(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of texts none of which is empty."""
+        raw = "".join(texts).encode()
+        begins, code = self._starts(texts)
+        widths = 1 + (code >= 0x80).astype(np.int8) + (code >= 0x800) + (code >= 0x10000)
+        at = np.cumsum(widths, dtype=np.int64) - widths if len(raw) > len(code) else np.arange(len(code))
+        begins = at[begins]
+        sizes = np.diff(np.append(begins, len(raw)))
+        place = np.arange(len(raw)) - np.repeat(begins, sizes)
+        np.minimum(place, MEMO_LENGTH - 1, out=place)
+        h = np.add.reduceat(self.random[place * 256 + np.frombuffer(raw, np.uint8)], begins)
+        h ^= sizes.astype(np.uint64)
+        h[h == 0] = 1
+        long = sizes > MEMO_LENGTH
+        if len(self.sizes) > MEMO_PIECES:
+            self.forget()
+        found = self._find(h)
+        found[long] = -1
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            new: dict[int, int] = {}
+            for k, key, lo, n in zip(missing.tolist(), h[missing].tolist(), begins[missing].tolist(), sizes[missing].tolist(), strict=True):
+                if n > MEMO_LENGTH:  # its hash is of its first bytes only
+                    found[k] = self._remember(raw[lo : lo + n])
+                    continue
+                value = new.get(key)
+                if value is None:
+                    value = new[key] = self._remember(raw[lo : lo + n])
+                    self._store(key, value)
+                found[k] = value
+        counts = np.frombuffer(self.sizes, np.int32)[found].astype(np.int64)
+        ends = np.cumsum(counts)
+        source = np.repeat(np.frombuffer(self.begins, np.int64)[found] - (ends - counts), counts)
+        source += np.arange(len(source))
+        ids = np.frombuffer(self.pool, np.uint32)[source].astype("<u4", copy=False)
+        first = np.cumsum([0, *map(len, texts)])
+        edges = np.append(at, len(raw))[first]
+        cut = np.append(0, ends)[np.searchsorted(begins, edges)].tolist()
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            yield ids[lo:hi].tobytes()
+
+    def _parts(self, text: str) -> Iterator[str]:
+        """A long text in parts that begin where pieces do: at a blank between letters or digits."""
+        lo = 0
+        while len(text) - lo > CHUNK:
+            cut = lo + CHUNK
+            while cut > lo and not (text[cut] == " " and text[cut - 1].isalnum() and text[cut + 1 : cut + 2].isalnum()):
+                cut = text.rfind(" ", lo, cut)
+            if cut <= lo:  # no such blank before: the next one behind
+                cut = lo + CHUNK
+                while 0 < cut < len(text) - 1 and not (text[cut] == " " and text[cut - 1].isalnum() and text[cut + 1].isalnum()):
+                    cut = text.find(" ", cut + 1)
+                if not 0 < cut < len(text) - 1:
+                    break
+            yield text[lo:cut]
+            lo = cut
+        yield text[lo:]
+
     def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers; about CHUNK characters at a time."""
-        cut, held = [], 0
+        waiting: list[str] = []
+        held = 0
+
+        def flush() -> Iterator[bytes]:
+            full = [t for t in waiting if t]
+            found = iter(self._encode(full)) if full else iter(())
+            yield from [next(found) if t else b"" for t in waiting]
+
         for text in texts:
             if len(text) > CHUNK:
-                yield from self._encode_pieces(cut)
-                cut, held = [], 0
-                yield b"".join([self._encode_pieces([pieces])[0] for pieces in self._pieces(text)])
+                yield from flush()
+                waiting, held = [], 0
+                parts = [text] if self.pattern else self._parts(text)
+                yield b"".join(ids for part in parts for ids in self._encode([part]))
                 continue
-            cut.append((self.pattern if self.plain is None or NOT_PLAIN.search(text) else self.plain).findall(text))
+            waiting.append(text)
             held += len(text)
             if held > CHUNK:
-                yield from self._encode_pieces(cut)
-                cut, held = [], 0
-        yield from self._encode_pieces(cut)
+                yield from flush()
+                waiting, held = [], 0
+        yield from flush()
 
     def encode(self, text: str) -> bytes:
         return next(self.encode_all([text]))
