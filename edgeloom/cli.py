@@ -1,4 +1,4 @@
-"""python -m edgeloom.cli: init, scan, tables, joins, path."""
+"""python -m edgeloom.cli: init, scan, tables, joins, path, summary, serve."""
 
 from __future__ import annotations
 
@@ -51,6 +51,9 @@ def parser() -> argparse.ArgumentParser:
             q.add_argument("--limit", type=int, default=50)
         q.add_argument("--json", action="store_true")
     s.add_argument("--json", action="store_true")
+    web = sub.add_parser("serve")
+    web.add_argument("--host", default="127.0.0.1")
+    web.add_argument("--port", type=int, default=8000)
     return p
 
 
@@ -93,6 +96,11 @@ def run(args: argparse.Namespace, config: Config) -> int:
         elif not args.quiet:
             print(", ".join(f"{k} {v}" for k, v in stats.items()))
         return 0
+    if args.command == "serve":
+        from edgeloom.web import server
+
+        server(spark, config.store, args.host, args.port).serve_forever()
+        return 0
     store = Store(spark, config.store)
     if args.command == "tables":
         rows(graph.top_nodes(store.read("nodes"), args.search, args.source, args.limit), args.json)

@@ -31,6 +31,30 @@ def select_edges(edges: DataFrame, source: str | None = None, min_occurrences: i
     return out
 
 
+def with_ids(edges: DataFrame) -> DataFrame:
+    """edges with edge_id, a hash of what identifies an edge, as text; it needs no counter and survives a new scan."""
+    return edges.withColumn("edge_id", F.lower(F.hex(F.xxhash64(*EDGE))))
+
+
+def sources(nodes: DataFrame) -> DataFrame:
+    return nodes.select("source").distinct().orderBy("source")
+
+
+def occurrences_of(occurrences: DataFrame, edge_id: str, limit: int = 100) -> DataFrame:
+    """Where an edge occurs, by file and line, with the file's branch, commit and remote."""
+    return with_ids(occurrences).where(F.col("edge_id") == edge_id).orderBy("rel_path", "line").limit(limit)
+
+
+def edge_detail(edges: DataFrame, conditions: DataFrame, occurrences: DataFrame, edge_id: str, limit: int = 100) -> dict | None:
+    """An edge with its conditions in order and its first occurrences; None if there is no such edge."""
+    row = with_ids(edges).where(F.col("edge_id") == edge_id).first()
+    if row is None:
+        return None
+    parts = with_ids(conditions).where(F.col("edge_id") == edge_id).orderBy("ordinal").select("ordinal", "predicate", "operator", "left_column", "right_column")
+    seen = occurrences_of(occurrences, edge_id, limit).select("rel_path", "line", "language", "branch", "commit_sha", "remote")
+    return row.asDict() | {"conditions": [r.asDict() for r in parts.collect()], "occurrences": [r.asDict() for r in seen.collect()]}
+
+
 def top_edges(edges: DataFrame, limit: int = 5000) -> DataFrame:
     return edges.orderBy(F.desc("occurrence_count"), *[c for c in EDGE if c in edges.columns]).limit(limit)
 

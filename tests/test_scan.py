@@ -107,3 +107,32 @@ def test_stream(spark, tmp_path, code):
     for _ in range(2):
         follow(spark, str(code), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_web(spark, tmp_path, code):
+    import threading
+    import urllib.request
+
+    from edgeloom.web import Api, server
+
+    conf = config(tmp_path, code)
+    assert Api(spark, str(tmp_path / "none")).answer("/api/summary")[0] == 503
+    scan(spark, conf)
+    api = Api(spark, conf.store)
+    assert api.answer("/api/summary")[1]["joins"] == 3
+    drawn = api.answer("/api/graph?limit=10")[1]
+    assert len(drawn["edges"]) == 3 and not drawn["truncated"]
+    one = api.answer(f"/api/edges/{drawn['edges'][0]['edge_id']}")[1]
+    assert one["conditions"][0]["operator"] == "=" and len(one["occurrences"]) == 2
+    assert api.answer("/api/edges/0")[0] == 404 and api.answer("/api/other")[0] == 404
+    assert [api.answer(f"/api/{q}")[0] for q in ("graph?limit=0", "graph?limit=2001", "neighbourhood?table=a&depth=5", "path?start=a", "path?start=a&end=b&k=11", "tables?limit=x")] == [422] * 6
+    near = api.answer("/api/neighbourhood?table=S.Orders")[1]
+    assert len(near["edges"]) == 2
+    assert api.answer("/api/path?start=s.customers&end=s.items")[1]["paths"][0]["hops"] == 2
+    tables = {t["table_key"]: t for t in api.answer("/api/model")[1]["tables"]}
+    assert tables["s.orders"]["columns"][0]["is_join_key"]
+    http = server(spark, conf.store, port=0)
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    with urllib.request.urlopen(f"http://127.0.0.1:{http.server_port}/api/sources", timeout=60) as r:
+        assert json.load(r) == ["one"]
+    http.shutdown()
