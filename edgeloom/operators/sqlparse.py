@@ -76,14 +76,18 @@ def tokens_of(text: str, line: int = 1) -> list[Token]:
 
 def statements(text: str) -> list[tuple[str, int]]:
     """The statements of a script with the line that each begins on; semicolons in quotes and comments don't count."""
-    out, begin, line, first = [], 0, 1, 1
+    out, begin, line, first, full = [], 0, 1, 1, False
     for m in TOKEN.finditer(text):
         if m.group() == ";":
-            out.append((text[begin : m.start()], first))
-            begin, first = m.end(), line
-        line += m.group().count("\n")
-    out.append((text[begin:], first))
-    return [(s, n) for s, n in out if any(True for _ in tokens_of(s)[:1])]
+            if full:
+                out.append((text[begin : m.start()], first))
+            begin, first, full = m.end(), line, False
+        else:
+            full = full or m.lastgroup != "space"
+            line += m.group().count("\n")
+    if full:
+        out.append((text[begin:], first))
+    return out
 
 
 class Parser:
