@@ -20,6 +20,8 @@ SLOTS, HASHES = 1 << 20, 3
 #: Characters of text that are looked at at once.
 CHUNK = 1 << 20
 UNKNOWN = "und"
+#: Languages that are learned; a column with more values is refused, as the filters' size follows their number.
+MOST_LANGUAGES = 1024
 
 
 @lru_cache(maxsize=1)
@@ -128,7 +130,10 @@ def learn(docs: DataFrame, sample: int = 2000, least: int = 3, share: float = 0.
     is `und`. Rows that repeat a doc_id are drawn together.
     """
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).collect()}
+    found = labelled.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError(f"{lang} has over {MOST_LANGUAGES} values, so it names no languages")
+    counts = {r["lang"]: r["n"] for r in found}
     languages = sorted(counts)
     filters = Filters(languages)
     if not languages:
