@@ -10,15 +10,14 @@ from edgeloom.sources.config import LANGUAGES, Source
 from edgeloom.sources.git import repository
 
 
-def accepts(rel: Column, source: Source) -> Column:
-    """Whether a source's globs and file patterns let a relative path in."""
-    any_of = lambda globs: F.lit(False) if not globs else rel.rlike("|".join(glob_regex(g) for g in globs))
-    out = any_of(source.include) & ~any_of(source.exclude)
-    for p in source.include_files[:1]:
-        out = out & rel.rlike("|".join(f"(?i:{p})" for p in source.include_files))
-    for p in source.exclude_files:
-        out = out & ~rel.rlike(f"(?i){p}")
-    return out
+def accepts(rel: Column, full: Column, source: Source) -> Column:
+    """Whether a source's globs and file patterns let a file in; a pattern may fit the relative or the full path."""
+    fits = lambda pattern: rel.rlike(pattern) | full.rlike(pattern)
+    any_of = lambda patterns: fits("|".join(patterns)) if patterns else F.lit(False)
+    out = any_of([glob_regex(g) for g in source.include]) & ~any_of([glob_regex(g) for g in source.exclude])
+    if source.include_files:
+        out = out & any_of([f"(?i:{p})" for p in source.include_files])
+    return out & ~any_of([f"(?i:{p})" for p in source.exclude_files])
 
 
 def language_of(path: Column) -> Column:
@@ -35,7 +34,7 @@ def decoded(content: Column) -> Column:
 def code_files(spark: SparkSession, source: Source) -> DataFrame:
     """(source, path, rel_path, language, text, digest, size_bytes, root, branch, commit_sha, remote) of a source.
 
-    Names and sizes are filtered before contents are read, files over the size limit and binary ones are left out,
+    Endings and sizes are filtered before contents are read, files over the size limit and binary ones are left out,
     and a path under two roots counts once. The listing and the reads are Spark's, so roots may be in any store."""
     endings = sorted({e for e in LANGUAGES if any(g.endswith(e) or not g.rpartition(".")[2].isalnum() for g in source.include)})
     found: DataFrame | None = None
@@ -45,12 +44,11 @@ def code_files(spark: SparkSession, source: Source) -> DataFrame:
         if not endings or not at.getFileSystem(conf).exists(at):
             continue
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{{{','.join(endings)}}}").load(root)
-        full = F.regexp_replace(F.col("path"), "^file:/+", "/")
-        shown = root.rstrip("/")
-        rel = F.when(full.startswith(f"{shown}/"), F.expr(f"substring({_sql('path')}, {len(shown) + 2})")).otherwise(F.regexp_extract(full, r"([^/]+)$", 1))
-        git = {k: F.lit(v) for k, v in (repository(root) if "://" not in root else dict.fromkeys(("root", "branch", "commit_sha", "remote"))).items()}
-        one = files.where(F.col("length") <= source.max_file_bytes).select(F.lit(source.name).alias("source"), full.alias("path"), rel.alias("rel_path"), F.col("length").alias("size_bytes"), "content", *(v.cast("string").alias(k) for k, v in git.items()))
-        one = one.where(accepts(F.col("rel_path"), source))
+        full = F.regexp_replace("path", "^file:/+", "/")
+        git = repository(root) if "://" not in root else dict.fromkeys(("root", "branch", "commit_sha", "remote"))
+        below = lambda top: F.when(full.startswith(f"{top.rstrip('/')}/"), F.substring(full, len(top.rstrip("/")) + 2, 1 << 20)).otherwise(F.regexp_extract(full, r"([^/]+)$", 1))
+        one = files.where(F.col("length") <= source.max_file_bytes).where(accepts(below(root), full, source))
+        one = one.select(F.lit(source.name).alias("source"), full.alias("path"), below(git["root"] or root).alias("rel_path"), F.col("length").alias("size_bytes"), "content", *(F.lit(v).cast("string").alias(k) for k, v in git.items()))
         found = one if found is None else found.unionByName(one)
     if found is None:
         return spark.createDataFrame([], "source string, path string, rel_path string, language string, text string, digest string, size_bytes long, root string, branch string, commit_sha string, remote string")
@@ -59,6 +57,3 @@ def code_files(spark: SparkSession, source: Source) -> DataFrame:
         found = found.dropDuplicates(["source", "path"])
     return found.select("source", "path", "rel_path", language_of(F.col("path")).alias("language"), decoded(F.col("content")).alias("text"), F.sha2("content", 256).alias("digest"), "size_bytes", "root", "branch", "commit_sha", "remote")
 
-
-def _sql(column: str) -> str:
-    return f"regexp_replace({column}, '^file:/+', '/')"

@@ -109,6 +109,15 @@ def test_stream(spark, tmp_path, code):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
 
 
+def test_paths_are_shown_from_the_repository(spark, tmp_path, code):
+    from edgeloom.sources.code_files import code_files
+
+    below = config(tmp_path, code / "old", exclude=[]).sources[0]
+    assert [r["rel_path"] for r in code_files(spark, below).collect()] == ["old/c.sql"]
+    picked = config(tmp_path, code, include_files=["^A", "d\\."], exclude_files=["ipynb$"]).sources[0]
+    assert [r["rel_path"] for r in code_files(spark, picked).collect()] == ["a.sql"]
+
+
 def test_web(spark, tmp_path, code):
     import threading
     import urllib.request
