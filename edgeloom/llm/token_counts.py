@@ -9,7 +9,7 @@ from edgeloom.llm._common import stored
 from edgeloom.llm.bpe import counted
 
 #: Lengths whose rows are summed in one window; blocks are summed by a second one.
-BLOCK = 1 << 12
+BLOCK = 1 << 8
 
 
 def histogram(docs: DataFrame, path: str | None = None, pattern: str | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
