@@ -142,6 +142,18 @@ def test_embeddings(spark, monkeypatch):
     assert embed_dedup.embedding_groups(empty(df)).count() == 0
 
 
+def test_pairs_near_the_threshold_are_met(spark):
+    rng = np.random.default_rng(8)
+    n = 1500
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = unit(rng.standard_normal((n, 64))), rng.standard_normal((n, 64))
+    b = unit(b - (a * b).sum(axis=1, keepdims=True) * a)
+    c = rng.uniform(0.9501, 0.96, (n, 1))
+    rows = [(i, v) for i, v in enumerate(np.concatenate([a, c * a + np.sqrt(1 - c * c) * b]).tolist())]
+    got = embed_dedup.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert got.agg(F.sum("n_links")).first()[0] >= 0.99 * 2 * n
+
+
 # 3, 8, 9
 
 
