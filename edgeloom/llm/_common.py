@@ -50,6 +50,14 @@ def discard(*tables: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
+def free_name(columns: Iterable[str], name: str) -> str:
+    """name, with underscores behind it until no column is called so in any spelling."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def strings(column: pa.Array) -> list[str]:
     """The texts of a string column, null as the empty text."""
     return ["" if x is None else x for x in column.to_pylist()]

@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm._common import strings
+from edgeloom.llm._common import free_name, strings
 
 #: Lengths of the n-grams; inside a word, or with the blank before or behind it.
 GRAMS = (3, 5)
@@ -195,7 +195,7 @@ def predict(docs: DataFrame, filters: Filters, keep: list[str], text: str = "tex
             found = [f.decide(t) for t in strings(batch.column(batch.num_columns - 1))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*keep, *names])
 
-    slim = docs.select(*keep, F.col(text).alias("__text"))
+    slim = docs.select(*keep, F.col(text).alias(free_name(keep, "__text")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return slim.mapInArrow(run, f"{schema}{', ' if schema else ''}`{names[0]}` string, `{names[1]}` double")
 

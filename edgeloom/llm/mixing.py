@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.llm._common import BROADCAST_ROWS, stored
+from edgeloom.llm._common import BROADCAST_ROWS, free_name, stored
 
 #: A word: what stands between ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -72,11 +72,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
         out = joined.select("doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"))
         return out.withColumn("taken", F.col("size") * F.col("copies"))
     # the rate travels under names that no column of docs has
-    free = "__rate"
-    while any(c.lower().startswith(free) for c in docs.columns):
-        free += "_"
-    slim = rates.select(F.col("source").alias(f"{free}_of"), rate.alias(free))
-    joined = docs.join(sized_for_all(slim), F.col(source).eqNullSafe(F.col(f"{free}_of")))
+    free, of = (free_name(docs.columns, n) for n in ("__rate", "__rate_of"))
+    slim = rates.select(F.col("source").alias(of), rate.alias(free))
+    joined = docs.join(sized_for_all(slim), F.col(source).eqNullSafe(F.col(of)))
     copies = F.floor(F.col(free)) + F.when(draw(doc_id, seed) < F.col(free) - F.floor(F.col(free)), 1).otherwise(0)
     emitted = joined.withColumn(free, F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
     return emitted.select(*docs.columns)

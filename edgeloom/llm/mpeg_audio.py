@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm._common import raw_texts
+from edgeloom.llm._common import free_name, raw_texts
 
 # Fixed values of the MPEG audio format: kbit/s by bitrate index for (MPEG-1 or not, layer), and rates by version.
 BITRATES = {
@@ -228,7 +228,7 @@ def read_audio(media: DataFrame, keep: list[str], column: str = "media") -> Data
 
     Null media and bytes without any frame have no frames, rate 0 and an empty payload.
     """
-    kept = media.select(*keep, F.col(column).alias("__media"))
+    kept = media.select(*keep, F.col(column).alias(free_name(keep, "__media")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.select(*keep).schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

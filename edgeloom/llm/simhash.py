@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm._common import local_roots, raw_texts, starts_of, stored, whole_groups
+from edgeloom.llm._common import free_name, local_roots, raw_texts, starts_of, stored, whole_groups
 from edgeloom.llm.components import connected_components
 
 BITS, SEED, RADIUS = 64, 42, 2
@@ -132,8 +132,9 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     Rows with a null doc_id have no rank and are kept. Rows that repeat a kept doc_id are reduced to one.
     """
     groups = simhash_groups(docs, text, doc_id)
-    heads = stored(groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct(), "kept-ids")
-    kept = docs.join(heads, F.col(doc_id).cast("long") == F.col("__kept"), "left_semi")
+    name = free_name(docs.columns, "__kept")
+    heads = stored(groups.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct(), "kept-ids")
+    kept = docs.join(heads, F.col(doc_id).cast("long") == F.col(name), "left_semi")
     return kept.dropDuplicates([doc_id]).unionByName(docs.where(F.col(doc_id).isNull()))
 
 

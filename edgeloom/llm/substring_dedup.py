@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from edgeloom.llm._common import stored, strings
+from edgeloom.llm._common import free_name, stored, strings
 
 #: Units end at a line's end and at a sentence's.
 UNIT = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
@@ -122,11 +122,9 @@ def remove_repeats(docs: DataFrame, min_words: int = 10, text: str = "text", doc
     shared = stored(first.where("first < last").select("a", "b", "first"), "shared-units")
     again = hashed.join(shared, ["a", "b"]).where("doc > first")
     hits = again.groupBy("doc").agg(F.collect_set("a").alias("units"))
-    key, found = "__doc", "__units"
-    while any(c.lower() in (key, found) for c in docs.columns):
-        key, found = key + "_", found + "_"
+    key, other, found = (free_name(docs.columns, n) for n in ("__doc", "__doch", "__units"))
     rest = [c for c in docs.columns if c != spans]
-    joined = docs.select(*rest).withColumn(key, rank).join(hits.select(F.col("doc").alias(f"{key}h"), F.col("units").alias(found)), F.col(key) == F.col(f"{key}h"), "left")
+    joined = docs.select(*rest).withColumn(key, rank).join(hits.select(F.col("doc").alias(other), F.col("units").alias(found)), F.col(key) == F.col(other), "left")
     schema = docs.select(*rest).schema.add(spans, T.ArrayType(T.StructType().add("begin", T.IntegerType()).add("end", T.IntegerType())))
     at = rest.index(text)
 

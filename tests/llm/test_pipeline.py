@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from edgeloom.llm import bpe, langid, mixing, simhash, substring_dedup
@@ -54,3 +55,19 @@ def test_stages_keep_columns_and_stand_odd_tables(spark):
             df = stage(spark, df, SF)
             assert df.columns == docs.columns
         assert corpus_pipeline.STAGES[-1][1](spark, df, SF).count() == df.count()
+
+
+def test_extra_columns_change_nothing(spark):
+    plain = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    names = ["__text", "__kept", "__KEPT_", "__removed", "__lang", "__score", "__rate", "__rate_of", "__doc", "__doch", "__units", "fp", "size", "target", "component_id"]
+    wide = plain.select("*", *(F.lit(n).alias(n) for n in names))
+    ends = []
+    for df in (plain, wide):
+        columns = df.columns
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            df = stage(spark, df, SF)
+            assert df.columns == columns
+        if len(columns) > len(plain.columns):
+            assert df.where(" or ".join(f"`{n}` <> '{n}'" for n in names)).isEmpty()
+        ends.append(Counter(tuple(r) for r in corpus_pipeline.tokenise(spark, df, SF).collect()))
+    assert ends[0] == ends[1] and ends[0]
