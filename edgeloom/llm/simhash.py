@@ -129,13 +129,22 @@ def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest doc_id, in the columns of docs.
 
-    Rows with a null doc_id have no rank and are kept. Rows that repeat a kept doc_id are reduced to one.
+    Rows with a null doc_id have no rank and are kept. Rows that repeat a kept doc_id are reduced to the one with the
+    least text, a null before all others, and among equal texts to that with the least hash; they are aggregated
+    map-side, and the step is left out where no kept doc_id repeats.
     """
     groups = simhash_groups(docs, text, doc_id)
     name = free_name(docs.columns, "__kept")
-    heads = stored(groups.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct(), "kept-ids")
-    kept = docs.join(heads, F.col(doc_id).cast("long") == F.col(name), "left_semi")
-    return kept.dropDuplicates([doc_id]).unionByName(docs.where(F.col(doc_id).isNull()))
+    ids = groups.where("doc_id is not null").groupBy(F.col("doc_id").alias(name)).agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("head"))
+    heads = stored(ids.where("head").select(name, "n"), "kept-ids")
+    rows_of = lambda which: docs.join(heads.where(which).select(name), F.col(doc_id).cast("long") == F.col(name), "left_semi")
+    kept = rows_of("n = 1").unionByName(docs.where(F.col(doc_id).isNull()))
+    if heads.where("n > 1").isEmpty():
+        return kept
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    order = F.struct(F.col(text), F.xxhash64(*plain))
+    least = rows_of("n > 1").groupBy(doc_id).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), order).alias(name))
+    return kept.unionByName(least.select(f"{name}.*"))
 
 
 def hex_of(fp: str) -> Column:
