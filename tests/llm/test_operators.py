@@ -431,13 +431,3 @@ def test_audio_reader():
     frame = mpeg_audio.frame_header(bytes([0xFF, 0xFB, 0x92, 0x00]))
     assert (frame.size, frame.samples, frame.rate, frame.kbps, frame.side) == (418, 1152, 44100, 128, 32)
     assert mpeg_audio.crc16(b"123456789") == 0xAEE7  # CRC-16/CMS
-
-
-def test_keep_one_of_repeated_ids(spark):
-    schema = "doc_id long, text string, m map<string,int>, note string"
-    texts = ["one two three four five", "six seven eight nine ten", "eleven twelve thirteen fourteen"]
-    rows = [(1, texts[0], {"a": 1}, "x"), (1, texts[0], {"a": 1}, "x"), (2, texts[1], None, "late"), (2, None, None, "null text"), (3, texts[0], None, "copy"), (4, texts[2], {}, None), (None, texts[2], None, "no id"), (None, texts[2], None, "no id")]
-    for order in (rows, rows[::-1]):
-        got = simhash.keep_one(spark.createDataFrame(order, schema).repartition(3))
-        assert got.columns == ["doc_id", "text", "m", "note"]
-        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, [rows[0], rows[3], rows[5], *rows[6:]]))
