@@ -1,9 +1,8 @@
-"""Repeated passages, by hashes of lines and of the sentences in them."""
+"""Repeated passages, by hashes of all runs of words; rare parts of a text are told by the least hash in each run."""
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,113 +14,130 @@ from pyspark.sql import types as T
 
 from edgeloom.llm._common import free_name, stored, strings
 
-#: Units end at a line's end and at a sentence's.
-UNIT = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
-#: A unit of more words is cut after every word whose hash is 0 modulo ANCHOR, wherever the unit began.
-LONG, ANCHOR = 24, 12
+#: Words of the shorter runs, of whose hashes the least in a run of min_words tells whether it can be anywhere else.
+SHORT = 5
 WORDS = re.compile(r"\S+\s*")
 #: Rank of rows without a doc_id: after all others.
 LAST = (1 << 63) - 1
 
 
-def units(text: str) -> Iterator[tuple[int, int, int, bytes]]:
-    """(begin, end, words, digest) of a text's units, which cover it; units without a letter or digit have no digest.
+def _counts(word: str) -> bool:
+    return word[0].isalnum() or word[-1].isalnum() or any(c.isalnum() for c in word)
 
-    The digest is of the words in lower case, joined by blanks. Lines alone would miss a passage that was put into
-    the middle of a line, so lines are cut into sentences, and what has no sentences at words chosen by their hash: the
-    same passage is cut in the same places in every document.
+
+def _runs(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each run of n words its 64-bit hash, and the least hash of the shorter runs in it."""
+    last, short = len(words) - n + 1, min(SHORT, n)
+    if last < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    spelled = "\n".join(words).encode("utf-8", "replace").split(b"\n")
+    each = np.fromiter(map(xxhash.xxh64_intdigest, spelled), np.uint64, len(words))
+    out = np.zeros(len(words) - short + 1, np.uint64)
+    for k in range(n):
+        if k == short:
+            least = out[:last].copy()
+            for i in range(1, n - short + 1):
+                np.minimum(least, out[i : i + last], out=least)
+            out = out[:last]
+        out = (out ^ each[k : k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64), (least if n > short else out).view(np.int64)
+
+
+def _words(text: str) -> list[str]:
+    return [w for w in text.lower().split() if w[0].isalnum() or _counts(w)]
+
+
+def units(text: str, min_words: int = 10) -> Iterator[tuple[int, int, int, bytes]]:
+    """(begin, end, words, digest) of a text's words, which cover it with the blanks behind them.
+
+    The digest is of the run of min_words words in lower case that begins with the word; words without a letter or
+    digit, and those with fewer words after them, have none.
     """
-    at = 0
-    for unit in UNIT.findall(text):
-        words = unit.lower().split()
-        if len(words) <= LONG:
-            yield at, at + len(unit), len(words), _digest(words)
-        else:
-            held, begin, end = [], at, at + len(unit) - len(unit.lstrip())
-            for spelled in WORDS.findall(unit):
-                end += len(spelled)
-                held.append(spelled.strip().lower())
-                if zlib.crc32(held[-1].encode("utf-8", "replace")) % ANCHOR == 0:
-                    yield begin, end, len(held), _digest(held)
-                    held, begin = [], end
-            if held:
-                yield begin, end, len(held), _digest(held)
-        at += len(unit)
-
-
-def _digest(words: list[str]) -> bytes:
-    normal = " ".join(words)
-    for c in normal:
-        if c.isalnum():
-            return xxhash.xxh3_128_digest(normal.encode("utf-8", "replace"))
-    return b""
-
-
-def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, doc): 96 bits of the digest of each different unit of each document."""
-    kind = np.dtype([("a", "<i8"), ("b", "<i4"), ("rest", "<i4")])
+    runs, k, at = _runs(_words(text), min_words)[0].tobytes(), 0, 0
+    for m in WORDS.finditer(text):
+        counted = int(_counts(m[0].strip().lower()))
+        yield at, m.end(), counted, runs[8 * k : 8 * k + 8] if counted else b""
+        k, at = k + counted, m.end()
+    if at < len(text):
+        yield at, len(text), 0, b""
+
+
+def _digests(batches: Iterable[pa.RecordBatch], min_words: int, only: bool) -> Iterator[pa.RecordBatch]:
+    """(a, doc): the different least hashes of each document or, with only, the hashes of its runs that have one of a
+    third column's."""
     for batch in batches:
-        docs, sizes, found = batch.column(0).to_numpy(), [], []
+        docs, sizes, found, held = batch.column(0).to_numpy(), [], [], 0
         for k, t in enumerate(strings(batch.column(1))):
-            own = {d for *_, d in units(t) if d}
-            found += sorted(own)
+            runs, least = _runs(_words(t), min_words)
+            own = np.unique(runs[np.isin(least, batch.column(2)[k].values.to_numpy())] if only else least)
+            found.append(own)
             sizes.append(len(own))
-            if len(found) > 1 << 17 or k == batch.num_rows - 1:
-                rows = np.frombuffer(b"".join(found), kind)
+            held += len(own)
+            if held > 1 << 17 or k == batch.num_rows - 1:
                 first = k + 1 - len(sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(rows["a"].copy()), pa.array(rows["b"].copy()), pa.array(np.repeat(docs[first : k + 1], sizes))], names=["a", "b", "doc"])
-                sizes, found = [], []
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.repeat(docs[first : k + 1], sizes))], names=["a", "doc"])
+                sizes, found, held = [], [], 0
 
 
 def _head(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
-def removed_spans(text: str, elsewhere: set[int], min_words: int) -> list[tuple[int, int]]:
-    """Spans of a text that are repeats: runs of neighbouring units that occur before, in an earlier document
-    (elsewhere) or in this one, and have min_words words together. Units without a digest neither end a run nor
-    count."""
-    seen: set[int] = set()
-    spans, begin, end, count = [], 0, 0, 0
-    for lo, hi, words, digest in units(text):
-        if not digest:
-            continue
-        head = _head(digest)
-        if head in elsewhere or head in seen:
-            if not count:
-                begin = lo
-            end, count = hi, count + words
-        else:
-            if count >= min_words:
-                spans.append((begin, end))
-            count = 0
-            seen.add(head)
-    if count >= min_words:
-        spans.append((begin, end))
-    return spans
+def removed_spans(text: str, elsewhere: set[int] | np.ndarray, min_words: int) -> list[tuple[int, int]]:
+    """Spans of a text that are repeats: the words of all runs of min_words that occur before, in an earlier document
+    (elsewhere) or in this one without overlap. Words without a letter or digit neither end a run nor count."""
+    runs = _runs(_words(text), min_words)[0]
+    known = np.zeros(len(runs), bool)
+    if len(elsewhere):
+        known |= np.isin(runs, elsewhere if isinstance(elsewhere, np.ndarray) else np.fromiter(elsewhere, np.int64))
+    ordered = np.sort(runs)
+    if (ordered[1:] == ordered[:-1]).any():
+        _, first, of = np.unique(runs, return_index=True, return_inverse=True)
+        known |= np.arange(len(runs)) - first[of] >= min_words
+    hit = np.flatnonzero(known).tolist()
+    if not hit:
+        return []
+    at, last = [], 0
+    for m in WORDS.finditer(text):
+        word = m[0].rstrip().lower()
+        if word[0].isalnum() or _counts(word):
+            at.append((last, m.end()))
+        last = m.end()
+    spans, begin, end = [], hit[0], hit[0] + min_words
+    for i in hit[1:]:
+        if i > end:
+            spans.append((at[begin][0], at[end - 1][1]))
+            begin = i
+        end = i + min_words
+    return [*spans, (at[begin][0], at[end - 1][1])]
 
 
 def remove_repeats(docs: DataFrame, min_words: int = 10, text: str = "text", doc_id: str = "doc_id", spans: str = "removed") -> DataFrame:
     """docs without the passages that an earlier document has already, in an added column the removed spans.
 
-    Documents are ranked by doc_id. Of every unit (see units) the occurrence in the smallest doc_id is kept, and there
-    the first; runs of repeated units of at least min_words words are cut out of the text. spans holds the (begin,
-    end) characters of the original that were cut, in order. Shorter repeats, such as a common short sentence, stay.
+    Documents are ranked by doc_id. Of every run of min_words words (see units) the occurrence in the smallest doc_id is
+    kept, and there the first; the words of all others are cut out of the text, wherever a passage begins and ends.
+    spans holds the (begin, end) characters of the original that were cut, in order. Shorter repeats stay.
 
     A null text stays null and an empty one empty; documents that lose everything stay as rows with an empty text.
     Rows without a doc_id come after all others and rows that share a doc_id count as one document, so among
     themselves they keep their common units. Other columns are kept; one that is named like `spans` is replaced. An
     empty table gives an empty result.
 
-    Units are aggregated map-side to the smallest doc_id of each digest, digests of one document are dropped, and what
-    is left is joined back to the units by shuffle, where AQE splits the rows of a very common line.
+    Equal runs have equal least hashes of shorter runs, about one for three words; those of one document only are
+    dropped first, aggregated map-side. Just the runs that have one of the others are hashed and aggregated to the
+    smallest doc_id. What is left is joined back by shuffle, where AQE splits the rows of a very common run.
     """
     rank = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))
-    hashed = docs.select(rank.alias("doc"), F.col(text).alias("text")).mapInArrow(_digests, "a long, b int, doc long")
-    first = hashed.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-    shared = stored(first.where("first < last").select("a", "b", "first"), "shared-units")
-    again = hashed.join(shared, ["a", "b"]).where("doc > first")
-    hits = again.groupBy("doc").agg(F.collect_set("a").alias("units"))
+    slim = docs.select(rank.alias("doc"), F.col(text).alias("text"))
+    least = slim.mapInArrow(lambda batches: _digests(batches, min_words, False), "a long, doc long")
+    ends = lambda hashed: hashed.groupBy("a").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+    common = least.join(stored(ends(least).select("a"), "shared-least"), "a").groupBy("doc").agg(F.collect_list("a").alias("least"))
+    asked = slim.join(common.withColumnRenamed("doc", "of"), F.col("doc") == F.col("of")).select("doc", "text", "least")
+    hashed = stored(asked.mapInArrow(lambda batches: _digests(batches, min_words, True), "a long, doc long"), "runs")
+    again = hashed.join(stored(ends(hashed).select("a", "first"), "shared-runs"), "a").where("doc > first")
+    hits = again.groupBy("doc").agg(F.collect_list("a").alias("units"))
     key, other, found = (free_name(docs.columns, n) for n in ("__doc", "__doch", "__units"))
     rest = [c for c in docs.columns if c != spans]
     joined = docs.select(*rest).withColumn(key, rank).join(hits.select(F.col("doc").alias(other), F.col("units").alias(found)), F.col(key) == F.col(other), "left")
@@ -138,7 +154,7 @@ def remove_repeats(docs: DataFrame, min_words: int = 10, text: str = "text", doc
                     texts.append(None)
                     cuts.append([])
                     continue
-                mine = removed_spans(t, set(lists[k].values.to_numpy().tolist()) if lists[k].is_valid else set(), min_words)
+                mine = removed_spans(t, lists[k].values.to_numpy() if lists[k].is_valid else set(), min_words)
                 kept, last = [], 0
                 for lo, hi in mine:
                     kept.append(t[last:lo])
