@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import brute
 from edgeloom.llm import bpe, components, embed_dedup, langid, mixing, mpeg_audio, simhash, substring_dedup, token_counts, token_store, url_filter
 from edgeloom.llm._common import new_path
 from edgeloom.llm.queries import RULES
@@ -356,34 +357,34 @@ def test_pieces_of_a_long_text_lose_no_gram(monkeypatch):
 # 7
 
 
-def test_substring_dedup(spark, docs, real):
+def test_substring_dedup(docs, real):
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[2])
     for df in (docs, real):
-        rows = [(r["doc_id"], r["text"]) for r in df.collect()]
-        first = {}
-        for i, t in rows:
-            rank = substring_dedup.LAST if i is None else i
-            for *_, d in substring_dedup.units(t or ""):
-                if d:
-                    first[d] = min(first.get(d, rank), rank)
-        want = []
-        for i, t in rows:
-            rank = substring_dedup.LAST if i is None else i
-            earlier = {substring_dedup._head(d) for *_, d in substring_dedup.units(t or "") if d and first[d] < rank}
-            spans = substring_dedup.removed_spans(t, earlier, 10) if t is not None else []
-            kept = None if t is None else "".join(c for k, c in enumerate(t) if not any(a <= k < b for a, b in spans)) if spans and len(t) < 20_000 else t if not spans else ""
-            want.append((str(i), kept if kept is None or len(t) < 20_000 or not spans else None, spans))
         cut = substring_dedup.remove_repeats(df)
-        got = [(str(r["doc_id"]), r["text"] if r["text"] is None or len(r["text"]) < 20_000 else r["text"], [tuple(s) for s in r["removed"]]) for r in cut.collect()]
-        assert sorted((i, s) for i, _, s in got) == sorted((i, s) for i, _, s in want)
-        short = {(i, t) for i, t, s in want if t is not None}
-        assert short <= {(i, t) for i, t, _ in got}
+        got = [(r["doc_id"], r["text"], [tuple(s) for s in r["removed"]]) for r in cut.collect()]
+        assert sorted(got, key=key) == sorted(brute.cut([(r["doc_id"], r["text"]) for r in df.collect()]), key=key)
         assert set(cut.columns) == set(df.columns) | {"removed"}
     assert substring_dedup.remove_repeats(empty(docs)).count() == 0
 
 
-def test_units_cover_the_text():
-    for t in [t or "" for t in TEXTS] + ["a" * 50 + " " + "word " * 100, "\n\n", "x.y.z", "  lead"]:
-        assert "".join(t[a:b] for a, b, *_ in substring_dedup.units(t)) == t
+def test_rows_without_an_id_lose_what_others_have(spark):
+    passage, other = prose(9), prose(9)
+    rows = [(5, passage), (None, passage), (None, passage), (None, f"{other} {passage}"), (None, other), (7, None), (7, f"x {other}"), (7, other)]
+    got = [(r["doc_id"], r["text"], [tuple(s) for s in r["removed"]]) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, brute.cut(rows)))
+
+
+@pytest.mark.parametrize("block", [7, 1 << 16])
+def test_words_are_cut_and_told_apart(monkeypatch, block):
+    monkeypatch.setattr(substring_dedup, "BLOCK", block)
+    texts = [t or "" for t in TEXTS] + ["x.y.z", "  lead", "ABC abc Abc aBd", "\u0130 i \u1e9e \u00df \U0001d49c \x1c-\x1d a"]
+    texts += ["".join(random.choices(" \n\tab-C1\u00e9\u00c9\u65e5 .", k=random.randrange(40))) for _ in range(300)]
+    found = substring_dedup.Words(texts)
+    at, known = found.firsts[found.text], found.counted
+    got = list(zip(found.text[known].tolist(), (found.begins - at)[known].tolist(), (found.ends - at)[known].tolist(), strict=True))
+    want = [(k, w) for k, t in enumerate(texts) for w in brute.words_of(t)]
+    assert got == [(k, b, e) for k, (b, e, _) in want]
+    assert len(set(found.hashes.tolist())) == len({w for _, (*_, w) in want}) == len(set(zip(found.hashes.tolist(), (w for _, (*_, w) in want), strict=True)))
 
 
 def test_a_passage_is_found_inside_other_lines(spark):

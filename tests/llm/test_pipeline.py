@@ -1,37 +1,24 @@
 import hashlib
 from collections import Counter
 
-import numpy as np
+import brute
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from edgeloom.llm import bpe, langid, mixing, simhash, substring_dedup
+from edgeloom.llm import bpe, langid, mixing
 
 SF = "/root/testdata/sf0.001"
 
 
-def brute(spark):
+def by_lists(spark):
     """The stages over lists."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     filters = langid.learn(docs)
     rows = [r.asDict() for r in docs.collect()]
     rows = [r for r in rows if (p := filters.decide(r["text"] or ""))[0] != "und" and p[1] >= corpus_pipeline.LEAST_SCORE]
-    rows.sort(key=lambda r: r["doc_id"])
-    fps = np.array([simhash.fingerprint((r["text"] or "").encode()) for r in rows], np.uint64)
-    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2
-    label = np.arange(len(rows))
-    while not np.array_equal(label, new := np.where(near, label[None, :], len(rows)).min(axis=1)):
-        label = new
-    rows = [r for k, r in enumerate(rows) if label[k] == k]
-    first = {}
-    for r in rows:
-        for *_, d in substring_dedup.units(r["text"]):
-            first.setdefault(d, r["doc_id"])
-    for r in rows:
-        t = r["text"]
-        spans = substring_dedup.removed_spans(t, {substring_dedup._head(d) for *_, d in substring_dedup.units(t) if d and first[d] < r["doc_id"]}, 10)
-        for lo, hi in reversed(spans):
-            t = t[:lo] + t[hi:]
+    kept = set(brute.near_kept([(r["doc_id"], r["text"]) for r in rows]))
+    rows = [r for r in rows if (r["doc_id"], r["text"]) in kept]
+    for r, (_, t, _) in zip(rows, brute.cut([(r["doc_id"], r["text"]) for r in rows]), strict=True):
         r["text"] = t
     plan = {r["doc_id"]: r["copies"] for r in mixing.mix(spark.createDataFrame(rows, docs.schema), plan_only=True).collect()}
     v = bpe.Vocabulary(bpe.default_path("byte_bpe_50k.tiktoken"), bpe.default_pattern())
@@ -44,7 +31,7 @@ def brute(spark):
 
 def test_pipeline_is_its_stages(spark):
     got = Counter(tuple(r) for r in corpus_pipeline.run(spark, SF).collect())
-    assert got == brute(spark)
+    assert got == by_lists(spark)
 
 
 def test_stages_keep_columns_and_stand_odd_tables(spark):
