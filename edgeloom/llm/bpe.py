@@ -19,8 +19,8 @@ from edgeloom.llm._common import strings
 
 #: Different pieces whose ids a worker remembers, and the most bytes of a piece that it remembers.
 MEMO_PIECES, MEMO_LENGTH = 600_000, 48
-#: Slots of the table of remembered pieces (a power of two, several times their number).
-SLOTS = 1 << 21
+#: Ids of remembered pieces at most, and slots of their table (a power of two, several times the number of pieces).
+MEMO_IDS, SLOTS = 1 << 22, 1 << 21
 #: Characters of text that are encoded at once.
 CHUNK = 1 << 19
 #: Fixed value: the pattern of the vocabulary's pieces.
@@ -90,21 +90,30 @@ class Vocabulary:
 
     Texts are cut into pieces by the pattern; every piece is encoded by the library's model on its own, once while the
     worker remembers it, which gives what the library gives for the whole text, as it never merges across pieces.
-    Pieces are told apart by a 64-bit tabulation hash of their bytes; what is remembered is a table of hashes, in
-    arrays, that is emptied when it holds MEMO_PIECES.
+    What is remembered is found by a 64-bit tabulation hash of a piece's bytes and compared with them byte for byte; it
+    is kept in arrays that are emptied when they hold MEMO_PIECES pieces or MEMO_IDS ids.
+
+    A JSON file's added tokens are found in a text first, as the library finds them, and what stands between them is
+    encoded on its own. A file of ranks has none.
     """
 
     def __init__(self, path: str, pattern: str):
         from tokenizers import models
 
-        chars = byte_characters()
+        chars, self.added, self.finder = byte_characters(), {}, None
         if path.endswith(".json"):
             with open(path, encoding="utf-8") as file:
                 stored = json.load(file)
             vocab = stored["model"]["vocab"]
             merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in stored["model"]["merges"]]
             self.model = models.BPE(vocab=vocab, merges=merges, cache_capacity=0, ignore_merges=bool(stored["model"].get("ignore_merges")))
-            vocab = vocab | {t["content"]: t["id"] for t in stored.get("added_tokens", [])}
+            for t in stored.get("added_tokens", []):
+                if any(t.get(x) for x in ("single_word", "lstrip", "rstrip", "normalized")):
+                    raise ValueError(f"added token {t['content']!r} is more than its text")
+                self.added[t["content"]] = t["id"]
+            if self.added:  # the longest of those that begin at a place
+                self.finder = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")")
+            vocab = vocab | self.added
         else:
             ranks = read_ranks(path)
             shown = {token: "".join(chars[b] for b in token) for token in ranks}
@@ -119,7 +128,8 @@ class Vocabulary:
         self.size = max(vocab.values()) + 1
         self.bytes = [b""] * self.size
         for shown_token, i in vocab.items():
-            self.bytes[i] = bytes(back[c] for c in shown_token) if all(c in back for c in shown_token) else shown_token.encode()
+            plain = shown_token in self.added or not all(c in back for c in shown_token)
+            self.bytes[i] = shown_token.encode() if plain else bytes(back[c] for c in shown_token)
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
         self.pattern = None if pattern == PATTERN else regex.compile(pattern)
         self.random = np.random.default_rng(1).integers(1 << 63, size=MEMO_LENGTH * 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -130,6 +140,8 @@ class Vocabulary:
         self.values = np.zeros(SLOTS, np.int32)
         self.pool = array("I")
         self.begins, self.sizes = array("q"), array("i")
+        self.spelled = bytearray(MEMO_LENGTH)  # the bytes of pieces; what is not remembered is compared with these zeros
+        self.spelled_at, self.spelled_size = array("q"), array("i")
 
     def _remember(self, piece: bytes) -> int:
         """Encodes a piece; where its ids are kept."""
@@ -137,6 +149,10 @@ class Vocabulary:
         self.begins.append(len(self.pool))
         self.sizes.append(len(ids))
         self.pool.extend(ids)
+        kept = piece if len(piece) <= MEMO_LENGTH else b""
+        self.spelled_at.append(len(self.spelled))
+        self.spelled_size.append(len(kept))
+        self.spelled += kept
         return len(self.sizes) - 1
 
     def _find(self, h: np.ndarray) -> np.ndarray:
@@ -155,6 +171,8 @@ class Vocabulary:
     def _store(self, h: int, value: int) -> None:
         slot = h >> 43
         while self.keys[slot]:
+            if self.keys[slot] == h:  # another piece's
+                return
             slot = (slot + 1) & (SLOTS - 1)
         self.keys[slot], self.values[slot] = h, value
 
@@ -178,25 +196,29 @@ class Vocabulary:
         sizes = np.diff(np.append(begins, len(raw)))
         place = np.arange(len(raw)) - np.repeat(begins, sizes)
         np.minimum(place, MEMO_LENGTH - 1, out=place)
-        h = np.add.reduceat(self.random[place * 256 + np.frombuffer(raw, np.uint8)], begins)
+        letters = np.frombuffer(raw, np.uint8)
+        h = np.add.reduceat(self.random[place * 256 + letters], begins)
         h ^= sizes.astype(np.uint64)
         h[h == 0] = 1
-        long = sizes > MEMO_LENGTH
-        if len(self.sizes) > MEMO_PIECES:
+        if len(self.sizes) > MEMO_PIECES or len(self.pool) > MEMO_IDS:
             self.forget()
         found = self._find(h)
-        found[long] = -1
+        found[sizes > MEMO_LENGTH] = -1  # their hash is of their first bytes only
+        if len(self.sizes):
+            known = np.flatnonzero(found >= 0)
+            found[known[np.frombuffer(self.spelled_size, np.int32)[found[known]] != sizes[known]]] = -1
+            place += np.repeat(np.where(found >= 0, np.frombuffer(self.spelled_at, np.int64)[found], 0), sizes)
+            found[np.searchsorted(begins, np.flatnonzero(np.frombuffer(self.spelled, np.uint8)[place] != letters), "right") - 1] = -1
         missing = np.flatnonzero(found < 0)
         if len(missing):
-            new: dict[int, int] = {}
+            new: dict[bytes, int] = {}
             for k, key, lo, n in zip(missing.tolist(), h[missing].tolist(), begins[missing].tolist(), sizes[missing].tolist(), strict=True):
-                if n > MEMO_LENGTH:  # its hash is of its first bytes only
-                    found[k] = self._remember(raw[lo : lo + n])
-                    continue
-                value = new.get(key)
+                piece = raw[lo : lo + n]
+                value = new.get(piece)
                 if value is None:
-                    value = new[key] = self._remember(raw[lo : lo + n])
-                    self._store(key, value)
+                    value = new[piece] = self._remember(piece)
+                    if n <= MEMO_LENGTH:
+                        self._store(key, value)
                 found[k] = value
         counts = np.frombuffer(self.sizes, np.int32)[found].astype(np.int64)
         ends = np.cumsum(counts)
@@ -237,11 +259,18 @@ class Vocabulary:
             yield from [next(found) if t else b"" for t in waiting]
 
         for text in texts:
-            if len(text) > CHUNK:
+            marked = self.finder is not None and any(t in text for t in self.added)
+            if marked or len(text) > CHUNK:
                 yield from flush()
                 waiting, held = [], 0
-                parts = [text] if self.pattern else self._parts(text)
-                yield b"".join(ids for part in parts for ids in self._encode([part]))
+                between = self.finder.split(text) if marked else [text]  # every other one is an added token
+                out = []
+                for k, plain in enumerate(between):
+                    if k % 2:
+                        out.append(self.added[plain].to_bytes(4, "little"))
+                    elif plain:
+                        out += [ids for part in ([plain] if self.pattern else self._parts(plain)) for ids in self._encode([part])]
+                yield b"".join(out)
                 continue
             waiting.append(text)
             held += len(text)
@@ -295,7 +324,8 @@ def _slim(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, ids, begins, ends): the ids of each whole text, and the characters that each id covers.
 
-    A null text is encoded as the empty one, which has no ids. Texts of special tokens are ordinary text. Rows with a
+    A null text is encoded as the empty one, which has no ids. Added tokens of a JSON file are found in texts as the
+    library finds them; with a file of ranks there are none, and such strings are ordinary text. Rows with a
     null or repeated doc_id are encoded like others; other columns are ignored; an empty table gives an empty result.
     A text is split a megabyte of characters at a time, so a very long one takes little more memory than its ids.
     """

@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -165,20 +166,46 @@ def encoding():
     return tiktoken.Encoding("own", pat_str=bpe.default_pattern(), mergeable_ranks=bpe.read_ranks(bpe.default_path("byte_bpe_50k.tiktoken")), special_tokens={})
 
 
+class Library:
+    """The tokenizers library itself."""
+
+    def __init__(self, name):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(bpe.default_path(name))
+
+    def encode_ordinary(self, text):
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"])
 def test_encoding_is_that_of_the_library(name, encoding):
     import tiktoken
 
     if "multi" in name:
         encoding = tiktoken.Encoding("multi", pat_str=bpe.default_pattern(), mergeable_ranks=bpe.read_ranks(bpe.default_path(name)), special_tokens={})
+    if "json" in name:
+        encoding = Library(name)
+        assert encoding.encode_ordinary("a<|endoftext|>b") == [64, 50256, 65]
     v = bpe.Vocabulary(bpe.default_path(name), bpe.default_pattern())
     alphabet = [chr(i) for i in range(1, 0x250)] + list("  \n\t'''smdtrevl ²ⅷ日本\u3000\u2028\u0301😀\u0558\x1c\x85\xa0")
-    texts = ["".join(random.choices(alphabet, k=random.randrange(60))) for _ in range(3000)] + [t for t in TEXTS if t] + ["", "it's we'll I'd 'sure  '  x", "a\n\n b \n", "<|endoftext|>"]
+    texts = ["".join(random.choices(alphabet, k=random.randrange(60))) for _ in range(3000)] + [t for t in TEXTS if t] + ["", "it's we'll I'd 'sure  '  x", "a\n\n b \n", "<|endoftext|>", " <|endoftext|> <|endoftext|><|endoftext|>x", "<|endoftext|", "wörter " * 90_000 + "<|endoftext|> 's"]
+    random.shuffle(texts)
     for t, ids in zip(texts, v.encode_all(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == encoding.encode_ordinary(t), repr(t)
         assert v.decode(ids) == t.encode()
 
 
+def test_pieces_of_one_hash_are_told_apart(encoding):
+    """Every piece has the same hash, so only the comparison of bytes tells them apart."""
+    v = bpe.Vocabulary(bpe.default_path("byte_bpe_50k.tiktoken"), bpe.default_pattern())
+    v.random[:] = 2
+    texts = [prose(9) for _ in range(30)]
+    for _ in range(2):
+        for t, ids in zip(texts, v.encode_all(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == encoding.encode_ordinary(t)
+
+
 def test_every_character_is_cut_as_the_library_cuts_it(encoding):
     v = bpe.Vocabulary(bpe.default_path("byte_bpe_50k.tiktoken"), bpe.default_pattern())
     chars = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
@@ -202,18 +229,22 @@ def test_encode_and_decode(docs, encoding):
     assert bpe.encode(empty(docs)).count() == bpe.digests(empty(docs)).count() == 0
 
 
-def test_token_store_keeps_ids_in_order(spark, docs, encoding, monkeypatch):
+def test_token_store_keeps_ids_in_order(spark, docs):
+    encoding = Library("byte_bpe_50k.json")
+    marked = [(i, t, None, None, 1, 0.0, None) for i, t in ((None, None), (None, "x"), (200, "one<|endoftext|>two"), (201, "<|endoftext|>"))]
+    docs = docs.where("doc_id is not null").unionByName(spark.createDataFrame(marked, docs.schema))
     target = new_path(spark, "store")
     token_store.write_store(docs, target)
     got = sorted(token_store.read_store(spark, target).collect(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in got] == sorted((r["doc_id"] for r in docs.collect()), key=lambda i: (i is not None, i))
-    texts, start = {}, 0
+    start, want = 0, []
     for r in docs.collect():
-        texts.setdefault(r["doc_id"], r["text"])
+        ids = np.array([*encoding.encode_ordinary(r["text"] or ""), 0], "<u4")
+        want.append((str(r["doc_id"]), len(ids), zlib.crc32(ids.tobytes())))
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_crc32"]) for r in got) == sorted(want)
     for r in got:
-        ids = np.array([*encoding.encode_ordinary(texts[r["doc_id"]] or ""), 0], "<u4")
-        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
-        start += len(ids)
+        assert r["start"] == start
+        start += r["n_tokens"]
     none = new_path(spark, "store")
     token_store.write_store(empty(docs), none)
     assert token_store.read_store(spark, none).count() == 0
@@ -222,19 +253,33 @@ def test_token_store_keeps_ids_in_order(spark, docs, encoding, monkeypatch):
 @pytest.mark.parametrize("first_rule", [50_257, 200_000])
 def test_grammar_is_lossless_and_random_access(first_rule):
     rng = np.random.default_rng(1)
-    for ids in (rng.zipf(1.3, 30_000) % 500, np.zeros(5000, int), np.zeros(0, int), np.array([7]), np.tile([1, 2, 3], 2000), np.full(5000, first_rule - 1)):
+    for ids in (rng.zipf(1.3, 30_000) % 500, np.zeros(5000, int), np.zeros(0, int), np.array([7]), np.tile([1, 2, 3], 2000), np.tile(rng.integers(0, 900, 300), 100), np.full(5000, first_rule - 1)):
         body, rules, levels = token_store.compress(ids.astype(np.uint32), first_rule)
         assert (token_store.expand(body, rules, levels, first_rule) == ids).all()
-        row = token_store._block_row(0, 0, [1], [ids.astype("<u4").tobytes()], first_rule).to_pylist()[0]
+        left = Counter()  # of pairs that don't overlap, none is left as often as gets a rule
+        at = {}
+        for k, pair in enumerate(zip(body.tolist(), body[1:].tolist(), strict=False)):
+            if at.get(pair, -2) < k - 1:
+                left[pair] += 1
+                at[pair] = k
+        assert not left or max(left.values()) < token_store.LEAST
+        for rule, n in zip(rules.tolist(), token_store.expansion_lengths(rules, levels, first_rule).tolist(), strict=True):
+            assert len(token_store.expand(np.array(rule), rules, levels, first_rule)) == n
+        sizes = [len(ids) // 3, 0, len(ids) - len(ids) // 3]
+        cuts = np.cumsum([0, *sizes])
+        row = token_store._shard_row(0, 0, [1, 2, 3], [ids[a:b].astype("<u4").tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], first_rule).to_pylist()[0]
         for _ in range(20):
             lo = random.randint(0, len(ids))
             hi = random.randint(lo, len(ids))
             assert (token_store.read_ids(row, lo, hi) == ids[lo:hi]).all()
-    assert len(body) < 5000 / 4
+        assert all((token_store.read_document(row, k) == ids[cuts[k] : cuts[k + 1]]).all() for k in range(3))
+    assert len(body) < 5000 / 100
 
 
-def test_length_histogram(docs, real, encoding):
-    for df in (docs, real):
+def test_length_histogram(spark, docs, real):
+    encoding = Library("byte_bpe_50k.json")
+    marked = spark.createDataFrame([(1, "a<|endoftext|>b<|endoftext|>")], "doc_id long, text string")
+    for df in (docs, real, marked):
         lengths = [len(encoding.encode_ordinary(r["text"] or "")) for r in df.select("text").collect()]
         limits = token_counts.context_limits(token_counts.histogram(df)).cache()
         for r in limits.collect():
@@ -409,11 +454,52 @@ def test_audio_keeps_the_payload(docs):
         p = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
         want.append((str(r["doc_id"]), len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])))
     assert sorted((str(r["doc_id"]), r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in read) == sorted(want)
-    assert all(r["bad_checksums"] == r["skipped"] == 0 and r["frames"] == len(r["seek_offsets"]) and r["samples"] == 1152 * r["frames"] for r in read)
+    assert all(r["bad_checksums"] == r["skipped"] == 0 and r["frames"] == len(r["seek_offsets"]) and r["samples"] == 1152 * r["frames"] and r["table_kind"] == "Xing" and r["table_agrees"] for r in read)
+    assert all(Fraction(r["seconds"]) == Fraction(r["samples"], 48000) for r in read)
     assert len({(r["payload_sha256"], r["feature"], r["media_sha256"]) for r in read}) == len({r["payload_sha256"] for r in read})
     assert mpeg_audio.to_audio(empty(docs)).count() == 0
 
 
+def test_audio_keeps_a_payload_that_looks_like_a_tag():
+    for size in (64, 128, 960, 1024):
+        for at in range(max(0, size - 200), size - 2):
+            payload = bytearray(b"y" * size)
+            payload[at : at + 3] = b"TAG"
+            read = mpeg_audio.read_stream(mpeg_audio.write_stream(bytes(payload)))
+            assert read.payload == payload and not read.skipped and read.table_agrees
+    assert mpeg_audio.read_stream(mpeg_audio.write_stream(mpeg_audio.payload_of(b"x" * 17 + b"TAG" + b"y" * 60))).payload.rstrip(b"\0") == b"x" * 17 + b"TAG" + b"y" * 60
+
+
+@pytest.mark.parametrize(("layer", "head", "bits"), [(1, (0x84, 0xC0), 128), (1, (0x84, 0x00), 256), (1, (0x84, 0x50), 160), (2, (0x84, 0xC0), 88), (2, (0xC4, 0x00), 176), (2, (0x14, 0xC0), 26)])
+def test_checksums_of_layers_one_and_two(layer, head, bits):
+    """A protected frame: its allocations (all 1, so that two more bits each follow in layer II), then anything."""
+    header = bytes([0xFF, 0xF8 | (4 - layer) << 1, *head])
+    frame = mpeg_audio.frame_header(header)
+    assert (frame.layer, frame.protected) == (layer, True)
+    rng = np.random.default_rng(layer)
+    body = bytearray(rng.integers(0, 256, frame.size - 6, dtype=np.uint8).tobytes())
+    if layer == 2:
+        body[:22] = b"\xff" * 22
+    covered = mpeg_audio.covered_bits(frame, header + b"\0\0" + bytes(body), 0)
+    widths = {88: 27, 176: 54, 26: 8}
+    assert covered == (bits if layer == 1 else bits + 2 * widths[bits])
+    stream = [int(b) for byte in header[2:] + bytes(body) for b in f"{byte:08b}"][: 16 + covered]
+    crc = [1] * 16  # a shift register, bit by bit
+    for b in stream:
+        out = crc[0] ^ b
+        crc = [*crc[1:], 0]
+        if out:
+            crc = [x ^ y for x, y in zip(crc, [1, *[0] * 12, 1, 0, 1], strict=True)]
+    crc = int("".join(map(str, crc)), 2).to_bytes(2, "big")
+    data = header + crc + bytes(body)
+    assert mpeg_audio.read_stream(data * 3).bad_checksums == 0
+    for bit, bad in ((0, 3), (covered - 1, 3), (covered, 0)):
+        hurt = bytearray(data)
+        hurt[6 + bit // 8] ^= 0x80 >> bit % 8
+        if layer == 1 or bit >= bits:
+            assert mpeg_audio.read_stream(bytes(hurt) * 3).bad_checksums == bad
+
+
 def test_audio_reader():
     payload = bytes(range(256)) * 20
     data = mpeg_audio.write_stream(payload)
