@@ -6,6 +6,7 @@ import hashlib
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from fractions import Fraction
 from functools import lru_cache
 
 import numpy as np
@@ -25,6 +26,15 @@ BITRATES = {
     (False, 3): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
 RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
+# Bits of an allocation in layer II, subband by subband, as (bits, subbands): at most 48 kbit/s a channel at 44.1 and
+# 48 kHz, the same at 32 kHz, at most 80 kbit/s a channel or 48 kHz, more, and not MPEG-1.
+ALLOCATION = {
+    "low": ((4, 2), (3, 6)),
+    "low32": ((4, 2), (3, 10)),
+    "middle": ((4, 11), (3, 12), (2, 4)),
+    "high": ((4, 11), (3, 12), (2, 7)),
+    "lsf": ((4, 4), (3, 7), (2, 19)),
+}
 
 #: What the writer makes: MPEG-1 layer III, mono, 48 kHz, with checksums. 17 bytes of zero side information say that
 #: both granules are silent, so the rest of a frame is ancillary data, and holds the payload.
@@ -42,6 +52,10 @@ class Frame:
     kbps: int
     side: int
     protected: bool
+    layer: int
+    mpeg1: bool
+    channels: int
+    bound: int
 
 
 @lru_cache(maxsize=4096)
@@ -57,9 +71,9 @@ def frame_header(head: bytes) -> Frame | None:
     kbps, rate = BITRATES[first, layer][index], RATES[version][rate_index]
     samples = 384 if layer == 1 else 1152 if layer == 2 or first else 576
     size = (12000 * kbps // rate + pad) * 4 if layer == 1 else samples * 125 * kbps // rate + pad
-    mono = head[3] >> 6 == 3
+    mono, joint = head[3] >> 6 == 3, head[3] >> 6 == 1
     side = (17 if mono else 32) if first else (9 if mono else 17)
-    return Frame(size, samples, rate, kbps, side if layer == 3 else 0, not head[1] & 1)
+    return Frame(size, samples, rate, kbps, side if layer == 3 else 0, not head[1] & 1, layer, first, 1 if mono else 2, 4 * (1 + (head[3] >> 4 & 3)) if joint else 32)
 
 
 @lru_cache(maxsize=65536)
@@ -73,6 +87,50 @@ def crc16(covered: bytes) -> int:
     return crc
 
 
+def crc16_bits(value: int, bits: int) -> int:
+    """crc16 of the lowest `bits` bits of a number, the highest of them first."""
+    crc = 0xFFFF
+    for i in range(bits - 1, -1, -1):
+        crc = (crc << 1 ^ (0x8005 if (crc >> 15 ^ value >> i) & 1 else 0)) & 0xFFFF
+    return crc
+
+
+def covered_bits(frame: Frame, data: bytes, at: int) -> int:
+    """How many bits behind the checksum of the layer I or II frame at `at` it covers: the allocations, and in layer II
+    which scale factors follow."""
+    if frame.layer == 1:
+        widths = [4] * 32
+    else:
+        low, most = frame.kbps / frame.channels <= 48, frame.kbps / frame.channels > 80 and frame.rate != 48000
+        table = "lsf" if not frame.mpeg1 else ("low32" if frame.rate == 32000 else "low") if low else "high" if most else "middle"
+        widths = [bits for bits, n in ALLOCATION[table] for _ in range(n)]
+    shared = [k >= frame.bound for k in range(len(widths))]
+    allocations = sum(w * (1 if alike else frame.channels) for w, alike in zip(widths, shared, strict=True))
+    if frame.layer == 1:
+        return allocations
+    value = int.from_bytes(data[at + 6 : at + 6 + 32], "big")
+    cursor, factors = 256, 0
+    for w, alike in zip(widths, shared, strict=True):
+        for _ in range(1 if alike else frame.channels):
+            cursor -= w
+            if value >> cursor & (1 << w) - 1:
+                factors += 2 * (frame.channels if alike else 1)
+    return allocations + factors
+
+
+def checksum_fits(frame: Frame, data: bytes, at: int) -> bool:
+    """Whether a protected frame's checksum is that of its header and what it covers; False if the frame is too short."""
+    written = data[at + 4] << 8 | data[at + 5]
+    if frame.layer == 3:
+        return crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + frame.side]) == written
+    bits = covered_bits(frame, data, at)
+    end = 6 + (bits + 7) // 8
+    if end > frame.size:
+        return False
+    value = int.from_bytes(data[at + 2 : at + 4] + data[at + 6 : at + end], "big") >> -bits % 8
+    return crc16_bits(value, 16 + bits) == written
+
+
 @lru_cache(maxsize=16)
 def _head(index: int, protected: bool = True) -> bytes:
     header = bytes([0xFF, 0xFA if protected else 0xFB, index << 4 | 1 << 2, 0xC0])
@@ -122,13 +180,19 @@ class Stream:
     kbps: set[int] = field(default_factory=set)
     bad_checksums: int = 0
     skipped: int = 0
+    bytes: int = 0
     table: dict = field(default_factory=dict)
     private: dict = field(default_factory=dict)
     payload: bytes = b""
 
     @property
-    def seconds(self) -> float:
-        return self.samples / self.rate if self.rate else 0.0
+    def seconds(self) -> Fraction:
+        return Fraction(self.samples, self.rate) if self.rate else Fraction(0)
+
+    @property
+    def table_agrees(self) -> bool | None:
+        """Whether the stream's table names as many frames and bytes as were found; None without a table."""
+        return None if not self.table else all(self.table.get(k, found) == found for k, found in (("frames", len(self.offsets)), ("bytes", self.bytes)))
 
 
 def _tag(data: bytes, out: Stream) -> int:
@@ -163,25 +227,27 @@ def _variable(data: bytes, at: int, frame: Frame) -> dict:
 
 def read_stream(data: bytes) -> Stream:
     """Walks a stream's frames. After bytes that are no frame it goes on at the next header whose frame ends at another
-    header, at a closing tag or at the end of the data; a frame that the data cut off is not counted."""
+    header, at a closing tag or at the end of the data; a frame that the data cut off is not counted.
+
+    The 128 bytes of a closing tag are told only where the walk comes to them: inside a frame they are the frame's.
+    Checksums of all three layers are verified."""
     out = Stream()
     at, last, body = _tag(data, out), len(data), []
-    if data[-128:-125] == b"TAG":
-        last -= 128
+    closing = last - 128 if data[-128:-125] == b"TAG" else -1
     synced = False
-    while at + 4 <= last:
+    while at + 4 <= last and at != closing:
         frame = frame_header(data[at : at + 4])
         end = at + frame.size if frame else 0
-        if frame and end <= last and (synced or end == last or frame_header(data[end : end + 4])):
+        if frame and end <= last and (synced or end in (last, closing) or frame_header(data[end : end + 4])):
             table = _variable(data, at, frame) if not out.offsets and not out.table else {}
             if table:
                 out.table = table
+                out.bytes += frame.size
             else:
-                if frame.protected:
-                    covered = data[at + 2 : at + 4] + data[at + 6 : at + 6 + frame.side]
-                    if frame.side and crc16(covered) != data[at + 4] << 8 | data[at + 5]:
-                        out.bad_checksums += 1
+                if frame.protected and not checksum_fits(frame, data, at):
+                    out.bad_checksums += 1
                 out.offsets.append(at)
+                out.bytes += frame.size
                 out.samples += frame.samples
                 out.rate = out.rate or frame.rate
                 out.kbps.add(frame.kbps)
@@ -190,6 +256,7 @@ def read_stream(data: bytes) -> Stream:
         else:
             after = data.find(b"\xff", at + 1, last)
             after = last if after < 0 else after
+            after = closing if at < closing < after else after
             out.skipped += after - at
             at, synced = after, False
     if OWNER[:-1] in out.private:
@@ -220,11 +287,13 @@ def to_audio(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     return slim.mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-FEATURES = "frames long, samples long, rate int, bitrates array<int>, bad_checksums long, skipped long, seek_offsets array<long>"
+FEATURES = "frames long, samples long, rate int, bitrates array<int>, bad_checksums long, skipped long, seek_offsets array<long>, seconds string, table_kind string, table_agrees boolean"
 
 
 def read_audio(media: DataFrame, keep: list[str], column: str = "media") -> DataFrame:
-    """The columns `keep`, and of each stream: payload digests, exact length in samples and frame seek offsets.
+    """The columns `keep`, and of each stream: payload digests, exact length in samples and in seconds (a fraction such
+    as 3/125), frame seek offsets, and its variable-bitrate table's kind and whether it names the frames and bytes that
+    were found (null without a table).
 
     Null media and bytes without any frame have no frames, rate 0 and an empty payload.
     """
@@ -237,10 +306,10 @@ def read_audio(media: DataFrame, keep: list[str], column: str = "media") -> Data
             for data in batch.column(batch.num_columns - 1).to_pylist():
                 data = data or b""
                 s = read_stream(data)
-                rows.append((len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), len(s.offsets), s.samples, s.rate, sorted(s.kbps), s.bad_checksums, s.skipped, s.offsets))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                rows.append((len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), len(s.offsets), s.samples, s.rate, sorted(s.kbps), s.bad_checksums, s.skipped, s.offsets, str(s.seconds), s.table.get("kind"), s.table_agrees))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.string(), pa.bool_()]
             found = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "frames", "samples", "rate", "bitrates", "bad_checksums", "skipped", "seek_offsets"]
+            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "frames", "samples", "rate", "bitrates", "bad_checksums", "skipped", "seek_offsets", "seconds", "table_kind", "table_agrees"]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], names=[*keep, *names])
 
     return kept.mapInArrow(run, f"{schema}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, {FEATURES}")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.llm import bpe, embed_dedup, langid, mixing, mpeg_audio, simhash, substring_dedup, token_counts, token_store, url_filter
-from edgeloom.llm._common import new_path
+from edgeloom.llm._common import new_path, stored
 
 RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 
@@ -63,9 +63,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = mpeg_audio.to_audio(_table(spark, sf_dir, "documents"))
+    media = stored(mpeg_audio.to_audio(_table(spark, sf_dir, "documents")), "media", compression="zstd")
     read = mpeg_audio.feature(mpeg_audio.read_audio(media, ["doc_id", "n_bytes"]))
-    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "samples", "rate", "seconds", "seek_offsets", "table_kind", "table_agrees")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
