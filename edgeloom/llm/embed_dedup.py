@@ -149,13 +149,15 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.95, recall: float = 0
 
     Vectors that are null, empty, zero or hold null or non-finite components have no links and are components of their
     own. Vectors of different lengths never link. A row without vec_id is counted by its neighbours; its own
-    component_id is that of its links and its kept is false. Rows that repeat a vec_id are separate vectors. An empty
-    table gives an empty result; other columns are ignored.
+    component_id is that of its links and its kept is false; where no row of a component has a vec_id, component_id is
+    null. Rows that repeat a vec_id are separate vectors: the graph's nodes are the different vectors, numbered once
+    they are written, and ids come in only when components are named. An empty table gives an empty result; other
+    columns are ignored.
     """
     slim = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("vec"))
     rows = stored(slim.mapInArrow(_valid, "vec_id long, key binary, vec binary"), "vectors")
     classes = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"), F.first("vec").alias("vec"))
-    classes = stored(classes.withColumn("id", F.coalesce("first", F.xxhash64("key"))), "vector-classes")
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "vector-classes")
     bits, tables = tables_for(classes.count(), cosine, recall)
     signed = stored(classes.select("id", "n", "vec").mapInArrow(_signer(bits, tables, seed), "id long, n long, vec binary, sign binary"), "signs")
     hashed = signed.select("id", "sign", F.length("vec").alias("dim")).mapInArrow(_explode, "id long, t short, bucket long")
@@ -167,9 +169,12 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.95, recall: float = 0
     full = blocks.join(signed, "id").repartition("t", "bucket", "p", "q").sortWithinPartitions("t", "bucket", "p", "q")
     found = stored(full.select("t", "bucket", "p", "q", "part", "id", "n", "vec", "sign").mapInArrow(_verify(cosine), "id long, links long, root long"), "links")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
-    parts = connected_components(found.where("id <> root").select("id", "root").distinct(), "id", "root")
-    named = classes.select("key", "id", "n").join(counts, "id", "left").join(parts, F.col("id") == F.col("node"), "left")
-    named = stored(named.select(F.col("key").alias("of"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "vector-names")
+    parts = stored(connected_components(found.where("id <> root").select("id", "root").distinct(), "id", "root"), "vector-components")
+    heads = classes.join(parts, F.col("id") == F.col("node")).groupBy("component").agg(F.min("first").alias("head"))
+    labels = parts.join(heads, "component").select("node", "head")
+    named = classes.select("key", "id", "n", "first").join(counts, "id", "left").join(labels, F.col("id") == F.col("node"), "left")
+    head = F.when(F.col("node").isNull(), F.col("first")).otherwise(F.col("head"))
+    named = stored(named.select(F.col("key").alias("of"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), head.alias("component_id")), "vector-names")
     out = rows.select("vec_id", "key").join(named, F.col("key") == F.col("of"), "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("of").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -144,6 +144,17 @@ def test_embeddings(spark, monkeypatch):
     assert embed_dedup.embedding_groups(empty(df)).count() == 0
 
 
+def test_embeddings_whose_ids_repeat_or_are_missing(spark):
+    rng = np.random.default_rng(4)
+    a, b, c, d = (rng.standard_normal(16) for _ in range(4))
+    near = lambda x: (x + rng.standard_normal(16) * 0.02).tolist()
+    rows = [(5, near(a)), (5, near(b)), (2, near(a)), (7, near(b)), (None, near(c)), (11, near(c)), (None, near(d)), (None, near(d)), (-3, None), (None, None), (2, a.tolist()), (2, a.tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = embed_dedup.embedding_groups(df).collect()
+    assert sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"])) for r in got) == sorted((str(i), n, str(k)) for i, n, k in brute_vectors(rows))
+    assert Counter((r["vec_id"], r["component_id"]) for r in got if r["kept"]) == Counter({(2, 2): 3, (5, 5): 1, (11, 11): 1, (-3, -3): 1})
+
+
 def test_pairs_near_the_threshold_are_met(spark):
     rng = np.random.default_rng(8)
     n = 1500
