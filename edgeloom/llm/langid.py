@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.llm._common import free_name, strings
@@ -20,7 +20,8 @@ SLOTS, HASHES = 1 << 20, 3
 #: Characters of text that are looked at at once.
 CHUNK = 1 << 20
 UNKNOWN = "und"
-#: Languages that are learned; a column with more values is refused, as the filters' size follows their number.
+#: Languages that are learned unless told otherwise; a column with more values is refused, as the filters' size follows
+#: their number (128 MB for 1024), and none is left out in silence.
 MOST_LANGUAGES = 1024
 
 
@@ -106,33 +107,34 @@ class Filters:
 
     def decide(self, text: str) -> tuple[str, float]:
         """(language, score): the language whose filter holds most n-grams, beyond what it would by chance, and that
-        share of them; `und` without letters or where no filter holds more than by chance."""
+        share of them; `und` without n-grams or languages. Where no filter holds more than by chance, it is the language
+        with most hits, the first of equal ones, with score 0."""
         hits, n = self.hits(text)
         if not n or not len(hits):
             return UNKNOWN, 0.0
         share = (hits / n - self.false_rate) / np.maximum(1 - self.false_rate, 1e-9)
         best = int(share.argmax())
         if share[best] <= 0:
-            # a text with a letter always gets a language: the likeliest by raw hits
             return self.languages[int(hits.argmax())], 0.0
         return self.languages[best], float(min(1.0, share[best]))
 
 
-def learn(docs: DataFrame, sample: int = 2000, least: int = 3, share: float = 0.004, versus: float = 0.2, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Filters:
+def learn(docs: DataFrame, sample: int = 2000, least: int = 3, share: float = 0.004, versus: float = 0.2, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", most_languages: int = MOST_LANGUAGES) -> Filters:
     """Filters from about `sample` labelled documents of each language (all of a rarer one), drawn by a hash of doc_id.
 
     An n-gram is put into a language's filter if at least `least` of its sampled documents have it, a `share` of them
     at least, and if the share is no less than `versus` times that of the language that has it most: what is common in
     one language and stray in another, as in a quotation or a wrong label, marks the first alone. sample is the
-    documented bound of what is gathered: distinct n-grams of that many documents.
+    documented bound of what is learned from; only the n-grams that are put into filters are gathered. More languages
+    than most_languages are an error.
 
     Rows with a null text or language teach nothing; without any labelled row there are no languages, and every text
     is `und`. Rows that repeat a doc_id are drawn together.
     """
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    found = labelled.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
-    if len(found) > MOST_LANGUAGES:
-        raise ValueError(f"{lang} has over {MOST_LANGUAGES} values, so it names no languages")
+    found = labelled.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).limit(most_languages + 1).collect()
+    if len(found) > most_languages:
+        raise ValueError(f"{lang} has over {most_languages} values, so it names no languages")
     counts = {r["lang"]: r["n"] for r in found}
     languages = sorted(counts)
     filters = Filters(languages)
@@ -157,25 +159,20 @@ def learn(docs: DataFrame, sample: int = 2000, least: int = 3, share: float = 0.
                         h, n = np.unique(np.concatenate(h), return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), key, np.int32)), pa.array(h.view(np.int64)), pa.array(n)], names=["l", "h", "n"])
                     found, held = {}, 0
-            texts = np.bincount([x for x, _ in rows], minlength=len(languages)) if rows else np.zeros(len(languages), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(languages), dtype=np.int32)), pa.array(np.full(len(languages), 0, np.int64)), pa.array(texts)], names=["l", "h", "n"])
 
     drawn = labelled.where(draw < chance).select(number[F.col(lang)].alias("l"), F.col(text).alias("text"))
-    found = drawn.mapInArrow(grams, "l int, h long, n long").groupBy("l", "h").agg(F.sum("n").alias("n"))
-    # h = 0 counts the documents drawn; n-grams below the least count are left out before they are gathered
-    table = found.where((F.col("n") >= least) | (F.col("h") == 0)).toArrow()
-    l, h, n = (table[c].to_numpy() for c in ("l", "h", "n"))
-    drawn_of = np.ones(len(languages))
-    drawn_of[l[h == 0]] = np.maximum(n[h == 0], 1)
-    grams_only = h != 0
-    l, h, n = l[grams_only], h[grams_only], n[grams_only]
-    rate = n / drawn_of[l]
-    _, of = np.unique(h, return_inverse=True)
-    top = np.zeros(of.max() + 1 if len(of) else 0)
-    np.maximum.at(top, of, rate)
-    ours = (rate >= share) & (rate >= versus * top[of])
+    texts = {r["l"]: r["n"] for r in drawn.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    if not texts:
+        filters.fill()
+        return filters
+    found = drawn.mapInArrow(grams, "l int, h long, n long").groupBy("l", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    drawn_of = F.create_map(*(F.lit(x) for pair in texts.items() for x in pair))
+    rated = found.withColumn("rate", F.col("n") / drawn_of[F.col("l")])
+    top = F.max("rate").over(Window.partitionBy("h"))  # a row for each language at most
+    table = rated.withColumn("top", top).where((F.col("rate") >= share) & (F.col("rate") >= versus * F.col("top"))).select("l", "h").toArrow()
+    l, h = table["l"].to_numpy(), table["h"].to_numpy()
     for i in range(len(languages)):
-        filters.add(i, h[ours & (l == i)].view(np.uint64))
+        filters.add(i, h[l == i].view(np.uint64))
     filters.fill()
     return filters
 

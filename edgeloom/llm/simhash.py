@@ -40,16 +40,16 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * set_bits > last).tobytes(), "big")
 
 
-def _fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = np.array([fingerprint(t) for t in raw_texts(batch.column(1))], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
+def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3) -> DataFrame:
+    """(doc_id, raw, fp) of every document; fp is a long with the fingerprint's 64 bits, raw is xxhash64 of the text."""
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([fingerprint(t, shingle) for t in raw_texts(batch.column(2))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], names=["doc_id", "raw", "fp"])
 
-def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp) of every document; fp is a long with the fingerprint's 64 bits."""
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return slim.mapInArrow(_fingerprints, "doc_id long, fp long")
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("raw"), F.col(text).alias("text"))
+    return slim.mapInArrow(run, "doc_id long, raw long, fp long")
 
 
 def covering_masks(radius: int) -> list[int]:
@@ -109,7 +109,12 @@ def near_links(fps: DataFrame) -> DataFrame:
     return paired.union(flipped.where("a <> b"))
 
 
-def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def _fp_components(fps: DataFrame) -> DataFrame:
+    """(fp, component) of the fingerprints that have a link to another; component is one of them."""
+    return stored(connected_components(near_links(fps)), "fp-components").withColumnRenamed("node", "fp")
+
+
+def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) of every document: its fingerprint and the smallest doc_id it is linked to, at any remove.
 
     Documents link if their fingerprints differ in at most RADIUS bits; equal fingerprints, that of texts without
@@ -117,25 +122,31 @@ def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     fingerprint 0. A null doc_id takes part but is never a component's id, unless all are null. Rows that repeat a
     doc_id stay as they are. An empty table gives an empty result; other columns are ignored.
     """
-    fps = stored(fingerprints(docs, text, doc_id), "fingerprints")
+    fps = stored(fingerprints(docs, text, doc_id, shingle).select("doc_id", "fp"), "fingerprints")
     groups = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "fp-groups")
-    links = stored(connected_components(near_links(groups.select("fp"))), "fp-components").withColumnRenamed("node", "fp")
+    links = _fp_components(groups.select("fp"))
     heads = stored(links.join(groups, "fp").groupBy("component").agg(F.min("first").alias("head")), "fp-heads")
     labels = links.join(heads, "component").select(F.col("fp").alias("of"), "head")
     named = groups.join(labels, F.col("fp") == F.col("of"), "left").select(F.col("fp").alias("of"), F.coalesce("head", "first").alias("component_id"))
     return fps.join(stored(named, "fp-names"), F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest doc_id, in the columns of docs.
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3) -> DataFrame:
+    """One document of each group of near-duplicates in the columns of docs: that with the smallest doc_id, of the rows
+    that repeat it the one with the smallest xxhash64 of its text.
 
-    Rows with a null doc_id have no rank and are kept. Rows that repeat a kept doc_id are reduced to one.
+    Every group keeps a row, also where another group's row has the same doc_id. Rows with a null doc_id have no rank
+    and are kept. Rows equal in doc_id and text are reduced to one.
     """
-    groups = simhash_groups(docs, text, doc_id)
-    name = free_name(docs.columns, "__kept")
-    heads = stored(groups.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct(), "kept-ids")
-    kept = docs.join(heads, F.col(doc_id).cast("long") == F.col(name), "left_semi")
-    return kept.dropDuplicates([doc_id]).unionByName(docs.where(F.col(doc_id).isNull()))
+    fps = fingerprints(docs.where(F.col(doc_id).isNotNull()), text, doc_id, shingle)
+    groups = stored(fps.groupBy("fp").agg(F.min(F.struct("doc_id", "raw")).alias("first")), "fp-groups")
+    links = _fp_components(groups.select("fp")).select(F.col("fp").alias("of"), "component")
+    heads = groups.join(links, F.col("fp") == F.col("of"), "left").groupBy(F.coalesce("component", "fp")).agg(F.min("first").alias("head"))
+    rank, raw, own = (free_name(docs.columns, n) for n in ("__rank", "__raw", "__own"))
+    first = stored(heads.select(F.col("head.doc_id").alias(rank), F.col("head.raw").alias(raw)), "kept-texts")
+    marked = docs.withColumn(own, F.xxhash64(text))
+    kept = marked.join(first, (F.col(doc_id).cast("long") == F.col(rank)) & (F.col(own) == F.col(raw)), "left_semi")
+    return kept.dropDuplicates([doc_id, own]).unionByName(marked.where(F.col(doc_id).isNull())).drop(own)
 
 
 def hex_of(fp: str) -> Column:

@@ -36,10 +36,10 @@ def parsed(url: Column) -> tuple[Column, Column]:
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column, Column]:
-    """(rule, verdict) of the longest rule that fits; null if none does. A rule is host/path and fits the host and its
-    subdomains if the path starts with the rule's."""
+    """(rule, verdict) of the longest rule that fits, of equally long ones the first by text; null if none does. A rule is
+    host/path and fits the host and its subdomains if the path starts with the rule's."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for text, said in sorted(rules, key=lambda r: (len(r[0]), r[0])):
+    for text, said in sorted(rules, key=lambda r: (-len(r[0]), r[0]))[::-1]:
         at, _, start = text.partition("/")
         fits = ((host == at) | host.endswith(f".{at}")) & path.startswith(f"/{start}")
         rule, verdict = F.when(fits, text).otherwise(rule), F.when(fits, said).otherwise(verdict)
