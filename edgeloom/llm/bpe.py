@@ -19,6 +19,9 @@ from edgeloom.llm._common import strings
 
 #: Different pieces whose ids a worker remembers, and the most bytes of a piece that it remembers.
 MEMO_PIECES, MEMO_LENGTH = 600_000, 48
+#: Masks of the lowest 0 to 8 bytes of a 64-bit word, and an odd number for each word of a piece.
+BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+ODD = np.random.default_rng(1).integers(1 << 63, size=MEMO_LENGTH // 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Ids of remembered pieces at most, and slots of their table (a power of two, several times the number of pieces).
 MEMO_IDS, SLOTS = 1 << 22, 1 << 21
 #: Characters of text that are encoded at once.
@@ -90,8 +93,8 @@ class Vocabulary:
 
     Texts are cut into pieces by the pattern; every piece is encoded by the library's model on its own, once while the
     worker remembers it, which gives what the library gives for the whole text, as it never merges across pieces.
-    What is remembered is found by a 64-bit tabulation hash of a piece's bytes and compared with them byte for byte; it
-    is kept in arrays that are emptied when they hold MEMO_PIECES pieces or MEMO_IDS ids.
+    What is remembered is found by a hash of a piece's bytes and compared with all of them, eight at a time; it is kept
+    in arrays that are emptied when they hold MEMO_PIECES pieces or MEMO_IDS ids.
 
     A JSON file's added tokens are found in a text first, as the library finds them, and what stands between them is
     encoded on its own. A file of ranks has none.
@@ -132,7 +135,6 @@ class Vocabulary:
             self.bytes[i] = shown_token.encode() if plain else bytes(back[c] for c in shown_token)
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
         self.pattern = None if pattern == PATTERN else regex.compile(pattern)
-        self.random = np.random.default_rng(1).integers(1 << 63, size=MEMO_LENGTH * 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.forget()
 
     def forget(self) -> None:
@@ -140,7 +142,7 @@ class Vocabulary:
         self.values = np.zeros(SLOTS, np.int32)
         self.pool = array("I")
         self.begins, self.sizes = array("q"), array("i")
-        self.spelled = bytearray(MEMO_LENGTH)  # the bytes of pieces; what is not remembered is compared with these zeros
+        self.spelled = array("Q", [0])  # the bytes of pieces, in words that are filled up with zeros
         self.spelled_at, self.spelled_size = array("q"), array("i")
 
     def _remember(self, piece: bytes) -> int:
@@ -152,7 +154,7 @@ class Vocabulary:
         kept = piece if len(piece) <= MEMO_LENGTH else b""
         self.spelled_at.append(len(self.spelled))
         self.spelled_size.append(len(kept))
-        self.spelled += kept
+        self.spelled.frombytes(kept.ljust(-len(kept) // 8 * -8, b"\0"))
         return len(self.sizes) - 1
 
     def _find(self, h: np.ndarray) -> np.ndarray:
@@ -194,21 +196,31 @@ class Vocabulary:
         at = np.cumsum(widths, dtype=np.int64) - widths if len(raw) > len(code) else np.arange(len(code))
         begins = at[begins]
         sizes = np.diff(np.append(begins, len(raw)))
-        place = np.arange(len(raw)) - np.repeat(begins, sizes)
-        np.minimum(place, MEMO_LENGTH - 1, out=place)
-        letters = np.frombuffer(raw, np.uint8)
-        h = np.add.reduceat(self.random[place * 256 + letters], begins)
-        h ^= sizes.astype(np.uint64)
+        # the eight bytes from each byte on
+        eight = np.ndarray((len(raw) + MEMO_LENGTH,), "<u8", buffer=raw + bytes(MEMO_LENGTH + 8), strides=(1,))
+        h, words, of = sizes.astype(np.uint64), [], np.arange(len(begins))
+        for k in range(MEMO_LENGTH // 8):
+            of = of[sizes[of] > 8 * k]
+            if not len(of):
+                break
+            word = eight[begins[of] + 8 * k] & BYTES[np.minimum(sizes[of] - 8 * k, 8)]
+            words.append((of, word))
+            mixed = (h[of] ^ word) * ODD[k]
+            h[of] = mixed ^ (mixed >> np.uint64(31))
+        h *= ODD[0]
         h[h == 0] = 1
         if len(self.sizes) > MEMO_PIECES or len(self.pool) > MEMO_IDS:
             self.forget()
         found = self._find(h)
         found[sizes > MEMO_LENGTH] = -1  # their hash is of their first bytes only
         if len(self.sizes):
-            known = np.flatnonzero(found >= 0)
-            found[known[np.frombuffer(self.spelled_size, np.int32)[found[known]] != sizes[known]]] = -1
-            place += np.repeat(np.where(found >= 0, np.frombuffer(self.spelled_at, np.int64)[found], 0), sizes)
-            found[np.searchsorted(begins, np.flatnonzero(np.frombuffer(self.spelled, np.uint8)[place] != letters), "right") - 1] = -1
+            spelled, spelled_at = np.frombuffer(self.spelled, np.uint64), np.frombuffer(self.spelled_at, np.int64)
+            found[np.frombuffer(self.spelled_size, np.int32)[found] != sizes] = -1
+            for k, (of, word) in enumerate(words):
+                known = found[of] >= 0
+                of = of[known]
+                found[of[spelled[spelled_at[found[of]] + k] != word[known]]] = -1
+            del spelled, spelled_at
         missing = np.flatnonzero(found < 0)
         if len(missing):
             new: dict[bytes, int] = {}

@@ -222,10 +222,10 @@ def test_encoding_is_that_of_the_library(name, encoding):
         assert v.decode(ids) == t.encode()
 
 
-def test_pieces_of_one_hash_are_told_apart(encoding):
+def test_pieces_of_one_hash_are_told_apart(encoding, monkeypatch):
     """Every piece has the same hash, so only the comparison of bytes tells them apart."""
+    monkeypatch.setattr(bpe, "ODD", np.zeros_like(bpe.ODD))
     v = bpe.Vocabulary(bpe.default_path("byte_bpe_50k.tiktoken"), bpe.default_pattern())
-    v.random[:] = 2
     texts = [prose(9) for _ in range(30)]
     for _ in range(2):
         for t, ids in zip(texts, v.encode_all(texts), strict=True):
