@@ -46,9 +46,10 @@ def analyse(text: str, language: str, settings: dict | None = None) -> Findings:
         if language == "python":
             return FrameAnalysis(name).run(text)
         if language == "notebook":
-            python, queries = stitched(text)
+            python, queries, wrong = stitched(text)
             frames = FrameAnalysis(name, language="notebook")
             found = frames.run(python)
+            found.errors += wrong
             for sql, line in queries:
                 more = Analysis(name, language="notebook").run(sql, line)
                 found.joins += more.joins

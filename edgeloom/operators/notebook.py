@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ast
 import json
 import re
 
-SQL_CELL = re.compile(r"^\s*%%(?:sql|sparksql|spark_sql|bigquery)\b[^\n]*\n?", re.I)
-SQL_LINE = re.compile(r"^\s*%(?:sql|sparksql)\s+(.*)$", re.I)
+# Magics of cells and of lines that are SQL.
+CELL_MAGICS = ("sql", "sparksql", "spark_sql", "bigquery", "athena", "trino")
+LINE_MAGICS = ("sql", "sparksql", "spark_sql")
+SQL_CELL = re.compile(rf"^\s*%%\s*(?:{'|'.join(CELL_MAGICS)})\b[^\n]*\n?", re.I)
+SQL_LINE = re.compile(rf"^\s*%\s*(?:{'|'.join(LINE_MAGICS)})\b(.*)$", re.I)
 
 
 def cells(text: str) -> list[str]:
@@ -22,9 +26,10 @@ def cells(text: str) -> list[str]:
     return found
 
 
-def stitched(text: str) -> tuple[str, list[tuple[str, int]]]:
-    """(python, [(sql, line)]): the Python of all cells, with magics blanked so that lines stay, and the SQL."""
-    python, queries, line = [], [], 1
+def stitched(text: str) -> tuple[str, list[tuple[str, int]], list[str]]:
+    """(python, [(sql, line)], errors): the Python of all cells, with magics blanked so that lines stay, and the SQL. A
+    cell that is no Python is blanked as well; unless it is another language's, by its magic, that is an error."""
+    python, queries, errors, line = [], [], [], 1
     for cell in cells(text):
         n = cell.count("\n") + 1
         if m := SQL_CELL.match(cell):
@@ -36,6 +41,12 @@ def stitched(text: str) -> tuple[str, list[tuple[str, int]]]:
                 if m := SQL_LINE.match(row):
                     queries.append((m[1], line + k))
                 kept.append("" if re.match(r"\s*[%!]", row) else row)
+            try:
+                ast.parse("\n".join(kept))
+            except (SyntaxError, ValueError, RecursionError) as error:
+                if not re.match(r"\s*%%", cell):
+                    errors.append(f"{type(error).__name__}: line {line}: {error}"[:300])
+                kept = [""] * n
             python.append("\n".join(kept))
         line += n
-    return "\n".join(python), queries
+    return "\n".join(python), queries, errors

@@ -12,12 +12,12 @@ from dataclasses import dataclass, field
 from edgeloom.functions.canonical import SPELLED
 
 TOKEN = re.compile(
-    r"""(?P<space>\s+|--[^\n]*|/\*.*?\*/)|(?P<string>[rRbBxX]?'(?:[^'\\]|\\.|'')*')|(?P<quoted>`(?:[^`]|``)*`|"(?:[^"\\]|\\.|"")*")|(?P<bracket>\[[A-Za-z_][^\]\n,()']*\])|(?P<number>\d+(?:\.\d*)?(?:[eE][+-]?\d+)?|\.\d+)|(?P<word>[^\W\d][\w$]*)|(?P<holder>\$\{[^}]*\}|\{\{.*?\}\}|\{[^}]*\}|[:@?]\w+|%s\b|\?)|(?P<op><=>|<>|!=|==|<=|>=|\|\||->|=>|::|[-+*/%=<>(),.;\[\]:&|^~!])|(?P<other>.)""",
+    r"""(?P<space>\s+|--[^\n]*|/\*.*?\*/)|(?P<string>[rRbBxX]?'(?:[^'\\]|\\.|'')*')|(?P<quoted>`(?:[^`]|``)*`|"(?:[^"\\]|\\.|"")*")|(?P<bracket>\[[A-Za-z_][^\]\n,()']*\])|(?P<number>\d+(?:\.\d*)?(?:[eE][+-]?\d+)?|\.\d+)|(?P<word>[^\W\d][\w$]*)|(?P<holder>\$\{[^}]*\}|\{\{.*?\}\}|\{[^}]*\}|[:@?]\w+|%s\b|\?)|(?P<op>\|>|<=>|<>|!=|==|<=|>=|\|\||->|=>|::|[-+*/%=<>(),.;\[\]:&|^~!])|(?P<other>.)""",
     re.S,
 )
 #: Words that end an expression or an alias.
-ENDS = set("from where group having order limit union intersect except minus on using join inner left right full cross natural outer semi anti lateral when then else end and or as window qualify sort distribute cluster set values into tablesample pivot unpivot matched fetch offset returning for asof".split())
-JOINERS = ("join", "inner", "left", "right", "full", "cross", "natural", "outer", "semi", "anti")
+ENDS = set("from where group having order limit union intersect except minus on using join inner left right full cross natural outer semi anti lateral when then else end and or as window qualify sort distribute cluster set values into tablesample pivot unpivot matched fetch offset returning for asof apply".split())
+JOINERS = ("join", "inner", "left", "right", "full", "cross", "natural", "outer", "semi", "anti", "asof")
 
 
 class SqlError(ValueError):
@@ -45,6 +45,9 @@ class Relation:
     on: tuple | None = None
     using: list[str] = field(default_factory=list)
     line: int = 0
+    lateral: bool = False
+    group: list[Relation] = field(default_factory=list)  # joins in parentheses, whose names are seen outside
+    span: int = 1  # relations from this one on that its join brings
 
     @property
     def key(self) -> str:
@@ -227,7 +230,49 @@ class Parser:
             q.where = self.expression()
         while self.word("group", "having", "window", "qualify", "sort", "distribute", "cluster"):
             self.clause()
-        q.inner, self.inner = self.inner, kept
+        while self.take("|>"):
+            q = self.piped(q)
+        q.inner, self.inner = q.inner + self.inner, kept
+        return q
+
+    def piped(self, q: Query) -> Query:
+        """A query with one more pipe operator. What gives new columns or a new name encloses what was before."""
+        over = lambda alias="": Query(relations=[Relation(query=q, alias=alias, line=self.peek().line)])
+        if self.word(*JOINERS, "lateral") or self.op(","):
+            q = q if not q.items and not q.branches else over()
+            self.joins(q)
+        elif self.take("where"):
+            q = q if not q.items and not q.branches else over()
+            e = self.expression()
+            q.where = e if q.where is None else ("and", q.where, e)
+        elif self.take("as"):
+            q.items = q.items or [(("star",), "")]
+            q = over((self.name() or "").lower())
+        elif self.word("select", "extend", "aggregate"):
+            kind = self.peek().low
+            self.i += 1
+            q = q if not q.items and not q.branches else over()
+            if kind == "extend":
+                q.items.append((("star",), ""))
+            if kind != "aggregate" or not self.word("group"):
+                self.take("distinct", "all")
+                self.items(q)
+            if kind == "aggregate" and self.take("group"):
+                self.need("by")
+                self.items(q)
+        elif self.take("union", "intersect", "except", "minus"):
+            self.take("all", "distinct")
+            q = Query(branches=[q, self.core()])
+        else:  # an operator that keeps or only drops columns and rows
+            depth = 0
+            while self.peek().kind != "end" and (depth or not (self.op("|>") or self.op(")"))):
+                if self.op("(") and self.peek(1).kind == "word" and self.peek(1).low in ("select", "with"):
+                    self.i += 1
+                    self.inner.append(self.query())
+                    self.need(")")
+                    continue
+                depth += self.op("(") - self.op(")")
+                self.i += 1
         return q
 
     def clause(self) -> None:
@@ -241,7 +286,7 @@ class Parser:
                 self.need(")")
                 continue
             depth += self.op("(") - self.op(")")
-            if depth < 0 or (not depth and (self.word("union", "intersect", "except", "minus", "order", "limit", "having", "window", "qualify", "sort", "distribute", "cluster", "group", "fetch", "offset") or self.op(";"))):
+            if depth < 0 or (not depth and (self.op("|>") or self.word("union", "intersect", "except", "minus", "order", "limit", "having", "window", "qualify", "sort", "distribute", "cluster", "group", "fetch", "offset") or self.op(";"))):
                 return
             self.i += 1
 
@@ -252,6 +297,9 @@ class Parser:
     def items(self, q: Query) -> None:
         while True:
             e = self.expression()
+            while e[0] == "star" and self.word("except", "exclude", "replace", "rename") and self.peek(1).text == "(":
+                self.i += 1
+                self.skip_group()
             alias = ""
             if self.take("as"):
                 alias = self.name() or ""
@@ -264,12 +312,29 @@ class Parser:
                 return
 
     def relations(self, q: Query) -> None:
-        q.relations.append(self.relation())
+        self.add(q, self.relation())
+        self.joins(q)
+
+    def add(self, q: Query, r: Relation) -> None:
+        """A relation or, for joins in parentheses, its first one with the others behind it."""
+        if r.group:
+            first = r.group[0]
+            first.kind, first.on, first.using, first.span = r.kind, r.on, r.using, len(r.group)
+            q.relations += r.group
+        else:
+            q.relations.append(r)
+
+    def joins(self, q: Query) -> None:
         while True:
             if self.take(","):
                 r = self.relation()
-                r.kind = "," if r.kind != "lateral" else "lateral"
-            elif self.word("lateral"):
+                r.kind = "lateral" if r.lateral else ","
+            elif self.word("cross", "outer") and self.peek(1).low == "apply":
+                kind = "cross" if self.word("cross") else "left"
+                self.i += 2
+                r = self.relation()
+                r.kind, r.lateral = kind, True
+            elif self.word("lateral") and self.peek(1).text != "(":
                 self.i += 1
                 self.take("view")
                 self.take("outer")
@@ -294,20 +359,32 @@ class Parser:
                     while not self.take(")"):
                         r.using.append((self.name() or "").lower())
                         self.take(",")
+            elif self.word("lateral"):
+                r = self.relation()
+                r.kind = "lateral"
             else:
                 return
-            q.relations.append(r)
+            self.add(q, r)
 
     def relation(self) -> Relation:
         r = Relation(line=self.peek().line)
-        self.take("lateral")
+        r.lateral = self.take("lateral")
         self.take("only")
+        joined = False
         if self.op("("):
-            if self.peek(1).kind == "word" and self.peek(1).low in ("select", "with", "from", "values") or self.peek(1).text == "(":
-                self.i += 1
-                r.query = self.query()
-                self.need(")")
-            else:  # joins in parentheses
+            k = next(k for k in range(1, len(self.tokens)) if self.peek(k).text != "(")
+            at, inner = self.i, list(self.inner)
+            joined = self.peek(k).low not in ("select", "with", "from", "values")
+            if not joined:
+                try:
+                    self.i += 1
+                    r.query = self.query()
+                    self.need(")")
+                except SqlError:  # more than a query in the parentheses
+                    if k == 1:
+                        raise
+                    self.i, self.inner, joined = at, inner, True
+            if joined:
                 self.i += 1
                 r.query = Query(items=[(("star",), "")])
                 self.relations(r.query)
@@ -333,6 +410,8 @@ class Parser:
             r.alias = (self.name() or "").lower()
         if r.alias and self.op("("):
             self.skip_group()
+        if joined and not r.alias:
+            r.group, r.query = r.query.relations, None
         return r
 
     # expressions
@@ -531,9 +610,12 @@ class Parser:
                 return x
             if low == "interval":
                 self.i += 1
-                while self.peek().kind in ("string", "number") or (self.peek().kind == "word" and self.peek().low not in ENDS and self.peek(-1).kind in ("string", "number")):
+                said = ["INTERVAL"]
+                while self.peek().kind in ("string", "number") or self.op("-") or (self.peek().kind == "word" and self.peek().low not in ENDS and (self.peek(-1).kind in ("string", "number") or said[-1] == "TO" or self.word("to"))):
+                    said.append(self.peek().text.strip("'").upper())
                     self.i += 1
-                return ("lit", "INTERVAL")
+                units = [w[:-1] if w.endswith("S") and w.isalpha() else w for w in said]
+                return ("lit", " ".join(units).replace("- ", "-"))
             if low in ("date", "timestamp") and after.kind == "string":
                 self.i += 2
                 return ("lit", f"{low.upper()} {after.text}")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.plans.rollup import EDGE, incident
+from edgeloom.plans.store import shared_dir
 
 #: Edges and nodes up to so many are broadcast to the other side of a search's joins.
 SMALL = 200_000
@@ -72,11 +73,10 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.select(F.inline(ends), F.col("occurrence_count").alias("weight"))
 
 
-def _checked(df: DataFrame) -> DataFrame:
-    """df, its lineage cut by a checkpoint in the cluster's folder where there is one, else cached."""
-    if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return df.checkpoint()
-    return df.cache()
+def checked(df: DataFrame) -> DataFrame:
+    """df, its lineage cut by a checkpoint in the cluster's folder."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -85,24 +85,41 @@ def _small(df: DataFrame) -> DataFrame:
 
 def distances(edges: DataFrame, start: str, depth: int) -> DataFrame:
     """(table_key, distance) of all tables within depth joins of start; start itself is at 0 whether it exists or not."""
-    near = _checked(adjacency(edges).select("a", "b").distinct())
+    near = checked(adjacency(edges).select("a", "b").distinct())
     seen = edges.sparkSession.createDataFrame([(start.lower(), 0)], "table_key string, distance int")
     frontier = seen
     for level in range(1, depth + 1):
         reached = near.join(_small(frontier), F.col("a") == F.col("table_key"), "left_semi").select(F.col("b").alias("table_key")).distinct()
-        frontier = _checked(reached.join(seen, "table_key", "left_anti").withColumn("distance", F.lit(level)))
+        frontier = checked(reached.join(seen, "table_key", "left_anti").withColumn("distance", F.lit(level)))
         seen = seen.unionByName(frontier)
     return seen
 
 
 def neighbourhood(edges: DataFrame, start: str, depth: int = 1) -> DataFrame:
     """Edges met on the way: those of a table nearer than depth, with both ends reached."""
-    seen = _checked(distances(edges, start, depth))
+    seen = checked(distances(edges, start, depth))
     inner = _small(seen.where(F.col("distance") < depth).select("table_key"))
     ends = lambda side: edges.join(inner, F.col(side) == F.col("table_key"), "left_semi")
     return ends("left_table").union(ends("right_table")).distinct()
 
 
+def nodes_by_key(nodes: DataFrame, keys: Sequence[str], source: str | None = None) -> DataFrame:
+    """The nodes of the named tables, in one source or in all."""
+    out = nodes.where(F.col("table_key").isin([k.lower() for k in keys]))
+    return out if source is None else out.where(F.col("source") == source)
+
+
+def surroundings(edges: DataFrame, nodes: DataFrame, start: str, depth: int = 1, limit: int = 300) -> tuple[DataFrame, DataFrame]:
+    """(nodes with their distance, edges) around a table: the `limit` nearest tables, by distance and name, and the edges
+    met on the way that have both ends among them. Both are empty if no edge has the table."""
+    near = distances(edges, start, depth).orderBy("distance", "table_key").limit(limit)
+    near = checked(near.join(incident(edges).select("table_key").distinct(), "table_key", "left_semi"))
+    met = neighbourhood(edges, start, depth)
+    keys = _small(near.select("table_key"))
+    inside = met.join(keys, F.col("left_table") == F.col("table_key"), "left_semi").join(keys, F.col("right_table") == F.col("table_key"), "left_semi")
+    return nodes.join(_small(near), "table_key"), inside
+
+
 def subgraph(edges: DataFrame, nodes: DataFrame, limit: int = 400) -> tuple[DataFrame, DataFrame]:
     """The busiest tables: (nodes, edges) of the limit top tables, edges inside them, and tables that have one."""
     ranked = top_nodes(nodes, limit=limit)
@@ -122,19 +139,19 @@ def shortest_path(edges: DataFrame, start: str, end: str, max_hops: int = 8) ->
     level = edges.sparkSession.createDataFrame([(start, [start], [], 0)], schema)
     if start == end:
         return level.select("tables", "occurrences", F.lit(0).alias("hops"), "total")
-    near = _checked(adjacency(edges).groupBy("a", "b").agg(F.max("weight").alias("weight")))
+    near = checked(adjacency(edges).groupBy("a", "b").agg(F.max("weight").alias("weight")))
     seen = level.select("at")
     for hop in range(1, max_hops + 1):
         step = near.join(_small(level), F.col("a") == F.col("at")).select(F.col("b").alias("at"), F.concat("tables", F.array("b")).alias("tables"), F.concat("occurrences", F.array("weight")).alias("occurrences"), (F.col("total") + F.col("weight")).alias("total"))
         step = step.join(seen, "at", "left_anti")
         best = F.min_by(F.struct("tables", "occurrences", "total"), F.struct(-F.col("total"), F.array_join("tables", ">"))).alias("p")
-        level = _checked(step.groupBy("at").agg(best).select("at", "p.*"))
+        level = checked(step.groupBy("at").agg(best).select("at", "p.*"))
         found = level.where(F.col("at") == end)
         if found.take(1):
             return found.select("tables", "occurrences", F.lit(hop).alias("hops"), "total")
         if not level.take(1):
             break
-        seen = _checked(seen.union(level.select("at")))
+        seen = checked(seen.union(level.select("at")))
     return level.where("false").select("tables", "occurrences", F.lit(0).alias("hops"), "total")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,10 +59,18 @@ class Store:
         df.write.mode("append").parquet(self.at(name))
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is."""
-    import tempfile
-    import uuid
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir. Where none is named, a temporary one in local mode
+    (tests); on a cluster, whose machines don't share such a folder, that is an error."""
+    jsc = spark.sparkContext._jsc.sc()
+    if jsc.getCheckpointDir().isEmpty():
+        named = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+        if not named and not jsc.isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="edgeloom-"))
+    return jsc.getCheckpointDir().get()
 
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    return f"{(named or tempfile.mkdtemp(prefix='edgeloom-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

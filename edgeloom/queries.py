@@ -17,7 +17,6 @@ from edgeloom.functions import canonical, naming
 from edgeloom.operators.extract import extract
 from edgeloom.plans import graph, rollup, store
 
-TOP = 31  # edges of the sparse graph for path searches
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -47,10 +46,9 @@ OCC = """occ as (
 EDGES = f"""{OCC}, edges as (
   select source, left_table, right_table, join_type, left_table || '.k = ' || right_table || '.k' as condition, count(*) as occurrence_count, count(distinct rel_path) as file_count,
     bool_and(implicit) as implicit, bool_and(ambiguous) as ambiguous from occ group by source, left_table, right_table, join_type)"""
-WHOLE = f"""{OCC}, whole as (select left_table, right_table, count(*) as occurrence_count from occ group by all),
-  sparse as (select * from whole order by occurrence_count desc, left_table, right_table limit {TOP})"""
-ENDS = "ends as (select min(left_table) as a, max(right_table) as b from sparse)"
-ADJ = "adj as (select left_table as a, right_table as b, occurrence_count as weight from sparse union all select right_table, left_table, occurrence_count from sparse)"
+WHOLE = f"{OCC}, whole as (select left_table, right_table, count(*) as occurrence_count from occ group by all)"
+ENDS = "ends as (select min(left_table) as a, max(right_table) as b from whole)"
+ADJ = "adj as (select left_table as a, right_table as b, occurrence_count as weight from whole union all select right_table, left_table, occurrence_count from whole)"
 NODES = """mentions as (select source, left_table as table_key, rel_path from occ union all select source, right_table, rel_path from occ),
   ends2 as (select source, left_table as table_key, occurrence_count from edges union all select source, right_table, occurrence_count from edges),
   f as (select source, table_key, count(distinct rel_path) as file_count from mentions group by all),
@@ -76,12 +74,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return occurrences(spark, sf_dir).groupBy("left_table", "right_table").agg(F.count("*").alias("occurrence_count"))
-
-
-def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most attested edges over all sources; TOP is what the path queries ask for."""
-    return graph._checked(whole(spark, sf_dir).orderBy(F.desc("occurrence_count"), "left_table", "right_table").limit(TOP))
+    """The edges over all sources, kept for the path queries' many steps."""
+    return graph.checked(occurrences(spark, sf_dir).groupBy("left_table", "right_table").agg(F.count("*").alias("occurrence_count")))
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +146,7 @@ def edge_occurrences(spark, sf_dir):
 
 @query(f"with {WHOLE}, {ADJ} select * from adj")
 def adjacency(spark, sf_dir):
-    return graph.adjacency(sparse(spark, sf_dir))
+    return graph.adjacency(whole(spark, sf_dir))
 
 
 def _ends(e: DataFrame) -> tuple[str, str]:
@@ -161,7 +155,7 @@ def _ends(e: DataFrame) -> tuple[str, str]:
 
 
 NEAR = """seen(t, d) as (select a, 0 from ends union select adj.b, d + 1 from seen join adj on adj.a = t where d < {depth}), best as (select t, min(d) as d from seen group by t)"""
-AROUND = "select distinct left_table, right_table, occurrence_count from sparse where exists (select 1 from best where d < {depth} and t in (left_table, right_table))"
+AROUND = "select distinct left_table, right_table, occurrence_count from whole where exists (select 1 from best where d < {depth} and t in (left_table, right_table))"
 
 
 def _near(depth: int) -> str:
@@ -170,39 +164,49 @@ def _near(depth: int) -> str:
 
 @query(_near(1))
 def neighbourhood_d1(spark, sf_dir):
-    e = sparse(spark, sf_dir)
+    e = whole(spark, sf_dir)
     return graph.neighbourhood(e, _ends(e)[0], 1)
 
 
 @query(_near(2))
 def neighbourhood_d2(spark, sf_dir):
-    e = sparse(spark, sf_dir)
+    e = whole(spark, sf_dir)
     return graph.neighbourhood(e, _ends(e)[0], 2)
 
 
-PATHS = f"""with recursive {WHOLE}, {ENDS}, {ADJ}, p(cur, tables, occurrences, total) as (
-  select a, [a], []::bigint[], 0::bigint from ends
-  union all select adj.b, list_append(tables, adj.b), list_append(occurrences, weight), (total + weight)::bigint from p join adj on adj.a = cur
-  where not list_contains(tables, adj.b) and len(tables) <= 5 and cur <> (select b from ends)),
-  best as (select tables, occurrences, total from p where cur = (select b from ends) order by len(tables), total desc, array_to_string(tables, '>') limit 1)"""
-
-
-@query(f"{PATHS} select array_to_string(tables, '>') as route, len(tables) - 1 as hops, total from best")
+def _routes(k: int) -> str:
+    """k routes, each found after the least attested edge of the one before was taken out: of those with fewest joins the
+    best attested one. Only tables that a step brings nearer to the end are walked through."""
+    parts = [WHOLE, ENDS, "e1 as (select * from whole)"]
+    for i in range(1, k + 1):
+        parts += [
+            f"adj{i} as (select left_table as a, right_table as b, occurrence_count as weight from e{i} union all select right_table, left_table, occurrence_count from e{i})",
+            f"seen{i}(t, d) as (select a, 0 from ends union select adj{i}.b, d + 1 from seen{i} join adj{i} on adj{i}.a = t where d < 8)",
+            f"near{i} as (select t, min(d) as d from seen{i} group by t)",
+            f"""p{i}(cur, tables, occurrences, total) as (select a, [a], []::bigint[], 0::bigint from ends
+              union all select adj{i}.b, list_append(tables, adj{i}.b), list_append(occurrences, weight), (total + weight)::bigint from p{i} join adj{i} on adj{i}.a = cur join near{i} on t = adj{i}.b and d = len(tables))""",
+            f"best{i} as (select tables, occurrences, total, list_position(occurrences, list_min(occurrences)) as pos from p{i} where cur = (select b from ends) order by total desc, array_to_string(tables, '>') limit 1)",
+            f"e{i + 1} as (select e{i}.* from e{i} left join best{i} on left_table = least(tables[pos], tables[pos + 1]) and right_table = greatest(tables[pos], tables[pos + 1]) where pos is null)",
+        ]
+    return f"with recursive {', '.join(parts)}"
+
+
+@query(f"{_routes(1)} select array_to_string(tables, '>') as route, len(tables) - 1 as hops, total from best1")
 def shortest_path(spark, sf_dir):
-    e = sparse(spark, sf_dir)
+    e = whole(spark, sf_dir)
     return graph.shortest_path(e, *_ends(e)).select(F.array_join("tables", ">").alias("route"), F.col("hops").cast("long").alias("hops"), "total")
 
 
-@query(f"{PATHS} select array_to_string(tables, '>') as route, coalesce(list_min(occurrences), 0) as weakest_link from best")
+@query(f"{_routes(1)} select array_to_string(tables, '>') as route, coalesce(list_min(occurrences), 0) as weakest_link from best1")
 def weakest_link(spark, sf_dir):
-    e = sparse(spark, sf_dir)
+    e = whole(spark, sf_dir)
     return graph.weakest_link(graph.shortest_path(e, *_ends(e))).select(F.array_join("tables", ">").alias("route"), "weakest_link")
 
 
-@query()
+@query(f"{_routes(3)} {' union all '.join(f"select {i} as rank, array_to_string(tables, '>') as route, len(tables) - 1 as hops, total from best{i}" for i in (1, 2, 3))}")
 def k_paths(spark, sf_dir):
-    e = sparse(spark, sf_dir)
-    return graph.shortest_paths(e, *_ends(e), k=3).select("rank", F.array_join("tables", ">").alias("route"), "hops", "total")
+    e = whole(spark, sf_dir)
+    return graph.shortest_paths(e, *_ends(e), k=3).select("rank", F.array_join("tables", ">").alias("route"), F.col("hops").cast("long").alias("hops"), "total")
 
 
 TOP_NODES = "top as (select table_key from (select table_key, sum(join_count) as j, sum(file_count) as f from nodes group by table_key) order by j desc, f desc, table_key limit 10)"
@@ -233,12 +237,12 @@ def model_relationships(spark, sf_dir):
 
 
 @query(
-    f"with {EDGES}, {COND}, refs as (select source, left_table as table_key, 'lk' as name, count(distinct rel_path) as ref_count from occ where line = 1 group by all), keys as (select source, left_table as table_key, 'lk' as name from cond union select source, right_table, 'rk' from cond) "
+    f"with {EDGES}, {COND}, refs as (select source, left_table as table_key, 'lk' as name, count(distinct rel_path) as ref_count from occ group by all), keys as (select source, left_table as table_key, 'lk' as name from cond union select source, right_table, 'rk' from cond) "
     "select coalesce(refs.source, keys.source) as source, coalesce(refs.table_key, keys.table_key) as table_key, coalesce(refs.name, keys.name) as name, coalesce(ref_count, 0) as ref_count, keys.name is not null as is_join_key from refs full join keys on refs.source = keys.source and refs.table_key = keys.table_key and refs.name = keys.name"
 )
 def model_columns(spark, sf_dir):
     seen = occurrences(spark, sf_dir)
-    observed = seen.where("line = 1").select("source", F.col("left_table").alias("table_key"), F.lit("lk").alias("name"), F.col("rel_path").alias("file"))
+    observed = seen.select("source", F.col("left_table").alias("table_key"), F.lit("lk").alias("name"), F.col("rel_path").alias("file"))
     return rollup.columns(observed, conditions(rollup.edges(seen)))
 
 
@@ -306,12 +310,12 @@ def join_type_mirror(spark, sf_dir):
     return _kinds(spark, sf_dir).select(kind.alias("join_type")).groupBy("join_type", canonical.mirrored_column(F.col("join_type")).alias("mirrored")).agg(F.count("*").alias("n"))
 
 
-@query(f"select doc_id, length(text) >= 12 and (regexp_matches(text, '{naming.SQL_VERB}') or regexp_matches(text, '{naming.SQL_JOIN}')) as is_sql from documents")
+@query(r"select doc_id, length(text) >= 12 and (regexp_matches(text, '(?i)\bjoin\b') or regexp_matches(text, '(?is)\b(create|delete|insert|merge|select|update|with)\b.*\bfrom\b')) as is_sql from documents")
 def looks_like_sql(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", naming.looks_like_sql(F.col("text")).alias("is_sql"))
 
 
-@query(f"select doc_id from documents where regexp_matches(text, '{naming.SQL_HINT}')")
+@query(r"select doc_id from documents where regexp_matches(lower(text), '\b(from|join)\b')")
 def sql_hint(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(F.col("text").rlike(naming.SQL_HINT)).select("doc_id")
 
@@ -325,7 +329,7 @@ def hash_comment_strip(spark, sf_dir):
 GLOBS = ["**/en/*", "*.html", "*/de/[0-4]*"]
 
 
-@query(f"select page_id from (select page_id, regexp_replace(url, '^[a-z]+://', '') as rel from pages) where {' or '.join(f"regexp_matches(rel, '{naming.glob_regex(g)}')" for g in GLOBS)}")
+@query("select page_id from (select page_id, regexp_replace(url, '^[a-z]+://', '') as rel from pages) where rel = 'en' or regexp_matches(rel, '(^|/)en/') or ends_with(rel, '.html') or regexp_matches(rel, '/de/[0-4]')")
 def glob_filter(spark, sf_dir):
     rel = F.regexp_replace("url", "^[a-z]+://", "")
     return table(spark, sf_dir, "pages").where(rel.rlike("|".join(naming.glob_regex(g) for g in GLOBS))).select("page_id")
@@ -369,7 +373,16 @@ CASES: dict[str, tuple[str, str, list[tuple]]] = {
     "extract_pyspark": ("python", READS + 'orders.join(customers, orders.cid == customers.id, "left")\norders.alias("o").join(F.broadcast(customers.alias("c")), (F.col("o.cid") == F.col("c.id")) & (customers.active == True))\norders.crossJoin(items)\norders.join(items, ["oid"], how="leftanti")', [(C, "RIGHT OUTER", O, EQ, False, False), (C, "INNER", O, EQ, False, False), (P, "CROSS", O, "", False, False), (P, "RIGHT ANTI", O, f"{P}.oid = {O}.oid", False, False)]),
     "extract_lineage": ("python", READS + f'both = orders.join(items, "oid")\nboth.createOrReplaceTempView("both")\nspark.sql("SELECT 1 FROM both b JOIN {C} c ON b.cid = c.id")', [(P, "INNER", O, f"{P}.oid = {O}.oid", False, False), (C, "INNER", O, EQ, False, True), (C, "INNER", P, f"{C}.id = {P}.cid", False, True)]),
     "extract_notebook": ("notebook", json.dumps({"cells": [{"cell_type": "markdown", "source": "# x JOIN y"}, {"cell_type": "code", "source": [f'o = spark.table("{O}")\n', "%time 1"]}, {"cell_type": "code", "source": f'c = spark.table("{C}")\no.join(c, o.cid == c.id)'}, {"cell_type": "code", "source": f"%%sql\nSELECT 1 FROM {P} p JOIN {O} o ON p.oid = o.id"}]}), [(C, "INNER", O, EQ, False, False), (P, "INNER", O, f"{P}.oid = {O}.id", False, False)]),
+    "extract_interval": ("sql", f"SELECT 1 FROM {O} o JOIN {C} c ON o.cid = c.id AND o.ts > c.ts - INTERVAL 3 DAYS;\nSELECT 1 FROM {O} o JOIN {C} c ON o.cid = c.id AND o.ts > c.ts - INTERVAL '7' DAY", [(C, "INNER", O, f"{EQ} AND {C}.ts - INTERVAL {n} DAY < {O}.ts", False, False) for n in (3, 7)]),
+    "extract_grouped": ("sql", f"SELECT 1 FROM ({O} o JOIN {C} c ON o.cid = c.id) LEFT JOIN {P} p ON p.oid = o.id;\nSELECT 1 FROM {P} p LEFT JOIN ({O} o JOIN {C} c ON o.cid = c.id) ON p.oid = o.id;\nSELECT 1 FROM (({O} o JOIN {C} c USING (cid)))", [(C, "INNER", O, EQ, False, False), (P, "RIGHT OUTER", O, f"{P}.oid = {O}.id", False, False), (P, "LEFT OUTER", O, f"{P}.oid = {O}.id", False, False), (C, "INNER", O, EQ, False, False), (C, "INNER", O, f"{C}.cid = {O}.cid", False, False)]),
+    "extract_lateral": ("sql", f"SELECT 1 FROM {C} c, LATERAL (SELECT * FROM {O} o WHERE o.cid = c.id) l;\nSELECT 1 FROM {O} o LATERAL VIEW explode(o.xs) t AS x JOIN {C} c ON c.id = o.cid", [(C, "INNER", O, EQ, True, False), (C, "INNER", O, EQ, False, False)]),
+    "extract_star_except": ("sql", f"SELECT * EXCEPT (a, b), c.* FROM {O} o JOIN {C} c ON o.cid = c.id", [(C, "INNER", O, EQ, False, False)]),
+    "extract_pipes": ("sql", f"FROM {O} o |> JOIN {C} c ON o.cid = c.id |> WHERE o.total > 3 |> AGGREGATE sum(o.v) AS v GROUP BY o.pid |> AS g |> LEFT JOIN {P} p ON p.id = g.pid |> ORDER BY v |> LIMIT 3", [(C, "INNER", O, EQ, False, False), (P, "RIGHT OUTER", O, f"{P}.id = {O}.pid", False, False)]),
+    "extract_match": ("python", READS + 'match 1:\n    case 1:\n        x = orders.join(customers, orders.cid == customers.id)\n    case _:\n        x = orders', [(C, "INNER", O, EQ, False, False)]),
+    "extract_magics": ("notebook", json.dumps({"cells": [{"cell_type": "code", "source": f"%%athena\nSELECT 1 FROM {P} p JOIN {O} o ON p.oid = o.id"}, {"cell_type": "code", "source": "def ("}, {"cell_type": "code", "source": "%%bash\nls -la ("}, {"cell_type": "code", "source": f"%spark_sql SELECT 1 FROM {O} o JOIN {C} c ON o.cid = c.id"}]}), [(P, "INNER", O, f"{P}.oid = {O}.id", False, False), (C, "INNER", O, EQ, False, False)]),
 }
+#: Errors that the files of a case have.
+WRONG = {"extract_magics": 1}
 
 
 def code(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
@@ -390,6 +403,33 @@ def found_joins(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame
     return found.select("case", "language", "k", "j.left_table", "j.join_type", "j.right_table", "j.condition", "j.implicit", "j.ambiguous")
 
 
+#: Statements over several lines, and the line of each join.
+LINES = f"""-- one; two
+SELECT 1
+FROM {O} o
+JOIN {C} c
+  ON o.cid = c.id;
+
+/* three
+   four */ SELECT 1 FROM {O} o
+  LEFT JOIN {P} p ON p.oid = o.id
+  WHERE EXISTS (
+    SELECT 1 FROM {C} c WHERE c.id = o.cid);
+SELECT FROM WHERE ((;
+SELECT 1 FROM {P} p, {C} c
+WHERE p.cid = c.id
+"""
+AT = [(4, C, "INNER", O, False), (9, P, "RIGHT OUTER", O, False), (11, C, "INNER", O, True), (13, C, "INNER", P, True)]
+
+
+@query(" union all ".join(f"select c_custkey::varchar as k, {n} as line, replace('{a}', '{{k}}', c_custkey::varchar) as left_table, '{kind}' as join_type, replace('{b}', '{{k}}', c_custkey::varchar) as right_table, {imp} as implicit, 1 as errors from customer" for n, a, kind, b, imp in AT))
+def extract_lines(spark, sf_dir):
+    keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("k")).repartition(spark.sparkContext.defaultParallelism, "k")
+    files = keys.select("k", F.lit("sql").alias("language"), F.replace(F.lit(LINES), F.lit("{k}"), F.col("k")).alias("text"))
+    found = extract(files).select("k", F.size("errors").alias("errors"), F.explode("joins").alias("j"))
+    return found.select("k", "j.line", "j.left_table", "j.join_type", "j.right_table", "j.implicit", "errors")
+
+
 def _register_cases() -> None:
     for n in CASES:
 
@@ -409,7 +449,7 @@ def parity(spark, sf_dir):
     return found.groupBy("left_table", "right_table", "condition").agg(F.countDistinct("language").alias("languages"), F.count("*").alias("occurrence_count")).where("languages > 1")
 
 
-@query(f"with e as ({_expected(list(CASES))}) select (select count(*) from customer) * {len(CASES)} as files_scanned, count(*) as joins_found, count(distinct (left_table, join_type, right_table, condition)) as edges, 0::bigint as errors from e")
+@query(f"with e as ({_expected(list(CASES))}) select (select count(*) from customer) * {len(CASES)} as files_scanned, count(*) as joins_found, count(distinct (left_table, join_type, right_table, condition)) as edges, (select count(*) from customer) * {sum(WRONG.values())} as errors from e")
 def scan_stats(spark, sf_dir):
     key = F.transform("joins", lambda j: F.struct(j["left_table"], j["join_type"], j["right_table"], j["condition"]))
     said = extract(code(spark, sf_dir, list(CASES))).select(F.size("errors").alias("wrong"), F.posexplode_outer(key).alias("at", "e"))

@@ -11,6 +11,11 @@ def scrub(url: str | None) -> str | None:
     return re.sub(r"^([^/]*?://)[^/]*@", r"\1", url) if url else url
 
 
+def short_commit(commit: str | None) -> str | None:
+    """The first 12 digits of a commit."""
+    return commit[:12] if commit else None
+
+
 def repository(path: str) -> dict:
     """root, branch, commit_sha and remote of the repository around a path; nulls where there is none."""
     none = {"root": None, "branch": None, "commit_sha": None, "remote": None}

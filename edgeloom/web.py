@@ -14,7 +14,7 @@ from edgeloom.plans.store import Store
 
 Answer = tuple[int, object]
 #: Caps of what may be asked for.
-MOST_NODES, MOST_PATHS, MOST_DEPTH = 2000, 10, 4
+MOST_NODES, MOST_PATHS, MOST_DEPTH, MOST_EDGES = 2000, 10, 4, 200_000
 
 
 class BadRequest(ValueError):
@@ -76,12 +76,13 @@ class Api:
         limit = self.number(asked, "limit", 400, 1, MOST_NODES)
         nodes, edges = graph.subgraph(self.edges(asked), self.nodes(asked), limit)
         shown, ranked = _rows(nodes), graph.top_nodes(self.nodes(asked), limit=limit).count()
-        return {"nodes": shown, "edges": _rows(graph.top_edges(graph.with_ids(edges))), "isolated": ranked - len(shown), "truncated": ranked >= limit}
+        found = _rows(graph.top_edges(graph.with_ids(edges), MOST_EDGES + 1))
+        return {"nodes": shown, "edges": found[:MOST_EDGES], "isolated": ranked - len(shown), "truncated": ranked >= limit or len(found) > MOST_EDGES}
 
     def model(self, asked: dict) -> object:
         limit = self.number(asked, "limit", 200, 1, MOST_NODES)
         tables, pairs = graph.model(self.nodes(asked), self.edges(asked), self.store.read("columns"), self.store.read("edge_conditions"), limit)
-        return {"tables": _rows(tables), "relationships": _rows(pairs)}
+        return {"tables": _rows(tables), "relationships": _rows(pairs.orderBy(*pairs.columns).limit(MOST_EDGES))}
 
     def tables(self, asked: dict) -> object:
         return _rows(graph.top_nodes(self.nodes(asked), asked.get("search"), limit=self.number(asked, "limit", 500, 1, MOST_NODES)))
@@ -89,7 +90,10 @@ class Api:
     def neighbourhood(self, asked: dict) -> object:
         if not asked.get("table"):
             raise BadRequest("table: a name is needed")
-        return {"edges": _rows(graph.with_ids(graph.neighbourhood(self.edges(asked), asked["table"], self.number(asked, "depth", 1, 1, MOST_DEPTH))))}
+        limit = self.number(asked, "limit", 300, 1, MOST_NODES)
+        nodes, edges = graph.surroundings(self.edges(asked), self.nodes(asked), asked["table"], self.number(asked, "depth", 1, 1, MOST_DEPTH), limit)
+        found = _rows(graph.top_edges(graph.with_ids(edges), MOST_EDGES + 1))
+        return {"nodes": _rows(nodes), "edges": found[:MOST_EDGES], "truncated": len(found) > MOST_EDGES}
 
     def path(self, asked: dict) -> object:
         if not asked.get("start") or not asked.get("end"):

@@ -33,6 +33,17 @@ def test_neighbourhood_stops_at_its_depth(edges):
     assert graph.neighbourhood(edges, "nowhere", 2).count() == 0
 
 
+def test_surroundings_have_distances_and_a_limit(edges):
+    nodes = edges.sparkSession.createDataFrame([("s", t) for t in "abcdxy"], "source string, table_key string")
+    found, inside = graph.surroundings(edges, nodes, "A", 2)
+    assert {r["table_key"]: r["distance"] for r in found.collect()} == {"a": 0, "b": 1, "d": 1, "c": 2} and inside.count() == 4
+    found, inside = graph.surroundings(edges, nodes, "a", 2, limit=2)
+    assert {r["table_key"] for r in found.collect()} == {"a", "b"} and inside.count() == 1
+    found, inside = graph.surroundings(edges, nodes, "nowhere", 2)
+    assert found.count() == inside.count() == 0
+    assert {r["table_key"] for r in graph.nodes_by_key(nodes, ["A", "q"]).collect()} == {"a"}
+
+
 def test_filters(edges):
     assert graph.select_edges(edges, min_occurrences=4).count() == 3
     assert graph.select_edges(edges, ambiguous=False).count() == 4

@@ -73,6 +73,30 @@ def test_frames_ignore_comments_and_find_embedded_sql():
     assert {(a, b) for a, _, b, _ in edges(text, "python")} == {("a.x", "c.y"), ("c.q", "x_.p")}
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("x JOIN b.t2 y ON x.q = y.q - INTERVAL '1-2' YEAR TO MONTH", {("a.t1", "INNER", "b.t2", "a.t1.q = b.t2.q - INTERVAL 1-2 YEAR TO MONTH")}),
+        ("x JOIN (b.t2 y JOIN c.t3 z ON y.j = z.j) ON x.k = z.k", {("a.t1", "INNER", "c.t3", "a.t1.k = c.t3.k"), ("b.t2", "INNER", "c.t3", "b.t2.j = c.t3.j")}),
+        ("x LEFT JOIN LATERAL (SELECT * FROM b.t2 y WHERE y.k = x.k) l", {("a.t1", "INNER", "b.t2", "a.t1.k = b.t2.k")}),
+        ("x CROSS APPLY (SELECT * FROM b.t2 y WHERE y.k = x.k) l", {("a.t1", "INNER", "b.t2", "a.t1.k = b.t2.k")}),
+        ("x JOIN LATERAL (SELECT * FROM b.t2) l ON l.k = x.k", {("a.t1", "INNER", "b.t2", "a.t1.k = b.t2.k")}),
+        ("x ASOF JOIN b.t2 y ON x.k = y.k AND x.ts >= y.ts", {("a.t1", "ASOF", "b.t2", "a.t1.k = b.t2.k AND a.t1.ts >= b.t2.ts")}),
+        ("x JOIN ((SELECT k FROM b.t2) UNION (SELECT k FROM b.t2)) y ON x.k = y.k", {("a.t1", "INNER", "b.t2", "a.t1.k = b.t2.k")}),
+        ("x JOIN ((SELECT k FROM b.t2) y JOIN c.t3 z ON y.k = z.k) ON x.k = y.k", {("a.t1", "INNER", "b.t2", "a.t1.k = b.t2.k"), ("b.t2", "INNER", "c.t3", "b.t2.k = c.t3.k")}),
+    ],
+)
+def test_odd_relations(text, want):
+    found = analyse(f"SELECT 1 FROM a.t1 {text}", "sql")
+    assert not found.errors and edges(f"SELECT 1 FROM a.t1 {text}") == want
+
+
+def test_pipes_enclose_what_is_before():
+    assert edges("FROM a.t1 x |> JOIN b.t2 y ON x.k = y.k |> SELECT x.j AS r |> AS q |> JOIN c.t3 z ON q.r = z.j") == {("a.t1", "INNER", "b.t2", "a.t1.k = b.t2.k"), ("a.t1", "INNER", "c.t3", "a.t1.j = c.t3.j")}
+    found = analyse("FROM a.t1 x |> EXTEND k + 1 AS n |> WHERE EXISTS (SELECT 1 FROM b.t2 y WHERE y.k = x.k) |> DROP n |> UNION ALL (SELECT * FROM c.t3) |> LIMIT 3", "sql")
+    assert not found.errors and found.tables == {"a.t1", "b.t2", "c.t3"}
+
+
 def test_broken_files_are_errors():
     assert analyse("def (", "python").errors and analyse("{", "notebook").errors and analyse("[]", "notebook").errors
     assert not analyse("From the join of two rivers", "text").joins
