@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import json
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -145,17 +147,21 @@ class Vocabulary:
         self.spelled = array("Q", [0])  # the bytes of pieces, in words that are filled up with zeros
         self.spelled_at, self.spelled_size = array("q"), array("i")
 
-    def _remember(self, piece: bytes) -> int:
-        """Encodes a piece; where its ids are kept."""
-        ids = [t.id for t in self.model.tokenize(piece.decode("latin-1").translate(self.shown))]
-        self.begins.append(len(self.pool))
-        self.sizes.append(len(ids))
-        self.pool.extend(ids)
-        kept = piece if len(piece) <= MEMO_LENGTH else b""
-        self.spelled_at.append(len(self.spelled))
-        self.spelled_size.append(len(kept))
-        self.spelled.frombytes(kept.ljust(-len(kept) // 8 * -8, b"\0"))
-        return len(self.sizes) - 1
+    def _remember(self, pieces: list[bytes]) -> int:
+        """Encodes different pieces; where the ids of the first one are kept, the others' follow."""
+        first, tokenize = len(self.sizes), self.model.tokenize
+        ids = [[t.id for t in tokenize(p.decode("latin-1").translate(self.shown))] for p in pieces]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.begins.frombytes((len(self.pool) + np.cumsum(counts) - counts).tobytes())
+        self.sizes.frombytes(counts.astype(np.int32).tobytes())
+        self.pool.extend(chain.from_iterable(ids))
+        kept = [p if len(p) <= MEMO_LENGTH else b"" for p in pieces]
+        size = np.fromiter(map(len, kept), np.int64, len(kept))
+        words = (size + 7) // 8
+        self.spelled_at.frombytes(np.where(words > 0, len(self.spelled) + np.cumsum(words) - words, 0).tobytes())
+        self.spelled_size.frombytes(size.astype(np.int32).tobytes())
+        self.spelled.frombytes(b"".join([p.ljust(-(-len(p) // 8) * 8, b"\0") for p in kept]))
+        return first
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """The values of hashes, -1 for unknown ones."""
@@ -170,13 +176,14 @@ class Vocabulary:
             open_ = open_[~same & (key != 0)]
         return out
 
-    def _store(self, h: int, value: int) -> None:
-        slot = h >> 43
-        while self.keys[slot]:
-            if self.keys[slot] == h:  # another piece's
-                return
-            slot = (slot + 1) & (SLOTS - 1)
-        self.keys[slot], self.values[slot] = h, value
+    def _store(self, h: np.ndarray, values: np.ndarray) -> None:
+        """Puts hashes into free slots; one that another piece has already is left out."""
+        slot = (h >> np.uint64(43)).astype(np.int64)
+        while len(h):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            self.keys[slot[free]], self.values[slot[free]] = h[free], values[free]
+            other = self.keys[slot] != h
+            h, values, slot = h[other], values[other], (slot[other] + 1) & (SLOTS - 1)
 
     def _starts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(begins, code): where pieces begin in the joined texts, and their code points."""
@@ -193,18 +200,21 @@ class Vocabulary:
         raw = "".join(texts).encode()
         begins, code = self._starts(texts)
         widths = 1 + (code >= 0x80).astype(np.int8) + (code >= 0x800) + (code >= 0x10000)
-        at = np.cumsum(widths, dtype=np.int64) - widths if len(raw) > len(code) else np.arange(len(code))
-        begins = at[begins]
+        at = np.cumsum(widths, dtype=np.int32 if len(raw) < 1 << 31 else np.int64) - widths if len(raw) > len(code) else np.arange(len(code))
+        begins = at[begins].astype(np.int64, copy=False)
         sizes = np.diff(np.append(begins, len(raw)))
         # the eight bytes from each byte on
         eight = np.ndarray((len(raw) + MEMO_LENGTH,), "<u8", buffer=raw + bytes(MEMO_LENGTH + 8), strides=(1,))
-        h, words, of = sizes.astype(np.uint64), [], np.arange(len(begins))
-        for k in range(MEMO_LENGTH // 8):
+        first = eight[begins] & BYTES[np.minimum(sizes, 8)]
+        h = (sizes.astype(np.uint64) ^ first) * ODD[0]
+        h ^= h >> np.uint64(31)
+        words, of = [], np.flatnonzero(sizes > 8)
+        for k in range(1, MEMO_LENGTH // 8):
             of = of[sizes[of] > 8 * k]
             if not len(of):
                 break
             word = eight[begins[of] + 8 * k] & BYTES[np.minimum(sizes[of] - 8 * k, 8)]
-            words.append((of, word))
+            words.append((k, of, word))
             mixed = (h[of] ^ word) * ODD[k]
             h[of] = mixed ^ (mixed >> np.uint64(31))
         h *= ODD[0]
@@ -216,29 +226,33 @@ class Vocabulary:
         if len(self.sizes):
             spelled, spelled_at = np.frombuffer(self.spelled, np.uint64), np.frombuffer(self.spelled_at, np.int64)
             found[np.frombuffer(self.spelled_size, np.int32)[found] != sizes] = -1
-            for k, (of, word) in enumerate(words):
+            found[spelled[spelled_at[found]] != first] = -1
+            for k, of, word in words:
                 known = found[of] >= 0
                 of = of[known]
                 found[of[spelled[spelled_at[found[of]] + k] != word[known]]] = -1
             del spelled, spelled_at
         missing = np.flatnonzero(found < 0)
         if len(missing):
-            new: dict[bytes, int] = {}
-            for k, key, lo, n in zip(missing.tolist(), h[missing].tolist(), begins[missing].tolist(), sizes[missing].tolist(), strict=True):
-                piece = raw[lo : lo + n]
-                value = new.get(piece)
-                if value is None:
-                    value = new[piece] = self._remember(piece)
-                    if n <= MEMO_LENGTH:
-                        self._store(key, value)
-                found[k] = value
+            pieces = [raw[lo : lo + n] for lo, n in zip(begins[missing].tolist(), sizes[missing].tolist(), strict=True)]
+            new = {p: i for i, p in enumerate(dict.fromkeys(pieces))}
+            which = np.fromiter(map(new.__getitem__, pieces), np.int64, len(pieces))
+            collecting = gc.isenabled()
+            gc.disable()  # many small lists, and no cycles among them
+            base = self._remember(list(new))
+            if collecting:
+                gc.enable()
+            found[missing] = base + which
+            once = missing[np.unique(which, return_index=True)[1]]
+            short = sizes[once] <= MEMO_LENGTH
+            self._store(h[once[short]], (base + np.flatnonzero(short)).astype(np.int32))
         counts = np.frombuffer(self.sizes, np.int32)[found].astype(np.int64)
         ends = np.cumsum(counts)
         source = np.repeat(np.frombuffer(self.begins, np.int64)[found] - (ends - counts), counts)
         source += np.arange(len(source))
         ids = np.frombuffer(self.pool, np.uint32)[source].astype("<u4", copy=False)
-        first = np.cumsum([0, *map(len, texts)])
-        edges = np.append(at, len(raw))[first]
+        where = np.cumsum([0, *map(len, texts)])
+        edges = np.append(at[where[:-1]], len(raw))
         cut = np.append(0, ends)[np.searchsorted(begins, edges)].tolist()
         for lo, hi in zip(cut[:-1], cut[1:], strict=True):
             yield ids[lo:hi].tobytes()

@@ -63,8 +63,8 @@ def compress(ids: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray,
         small = symbols <= 1 << 16  # then a pair is one 32-bit number
         kind, bits = (np.uint32, 32) if small else (np.uint64, 64)
         half = kind(bits // 2)
-        place = np.flatnonzero(open_[:-1])
-        pair = seq[place].astype(kind) << half | seq[place + 1]
+        place = np.flatnonzero(open_[:-1]) if levels else np.arange(len(seq) - 1)
+        pair = (seq[place].astype(kind) << half | seq[place + 1]) if levels else seq[:-1].astype(kind) << half | seq[1:]
         ordered = np.sort(pair)
         at = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
         counts = np.diff(np.append(at, len(ordered)))
@@ -74,17 +74,22 @@ def compress(ids: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray,
             break
         chosen = chosen[np.lexsort((chosen * MIX[bits], counts))]  # the most frequent last
         rank = _indexed(pair, chosen, bits)
-        place, rank = place[rank >= 0], rank[rank >= 0]
+        often = np.flatnonzero(rank >= 0)
+        place, rank = place[often], rank[often]
         touch = np.diff(place) == 1
-        before, after = np.full(len(rank), -1, np.int32), np.full(len(rank), -1, np.int32)
-        before[1:][touch], after[:-1][touch] = rank[:-1][touch], rank[1:][touch]
-        n = np.arange(len(rank), dtype=np.int32)
-        even = (n - np.maximum.accumulate(np.where(rank == before, 0, n))) % 2 == 0  # in a run of one symbol
-        hit = (rank >= before) & (rank >= after) & even
+        before = np.where(touch, rank[:-1], np.int32(-1))  # of each but the first
+        hit = np.ones(len(rank), bool)
+        hit[1:] = rank[1:] >= before
+        hit[:-1] &= rank[:-1] >= np.where(touch, rank[1:], np.int32(-1))
+        run = np.flatnonzero(rank[1:] == before) + 1  # of one symbol: every other pair
+        if len(run):
+            n = np.arange(len(run))
+            hit[run[(n - np.maximum.accumulate(np.where(np.append(True, np.diff(run) > 1), n, 0))) % 2 == 0]] = False
+        hit = np.flatnonzero(hit)
         named = np.bincount(rank[hit], minlength=len(chosen)) >= LEAST
         if not named.any():
             break
-        hit &= named[rank]
+        hit = hit[named[rank[hit]]]
         name = (np.cumsum(named) - 1 + symbols).astype(np.uint32)
         open_[:] = False
         open_[place] = True
@@ -128,6 +133,29 @@ def expand(seq: np.ndarray, rules: np.ndarray, levels: list[int], first_rule: in
     return seq
 
 
+def expand_all(body: np.ndarray, rules: np.ndarray, levels: list[int], first_rule: int, lengths: np.ndarray) -> np.ndarray:
+    """expand() of a whole body: the rules' ids are written out first, round by round, and then fetched once.
+
+    A rule's ids occur LEAST times in the shard, so those of a round's rules together are a LEAST-th of it."""
+    # where each symbol's ids are, and how many: a terminal is its own
+    begins = np.append(np.arange(first_rule), first_rule + np.cumsum(lengths) - lengths)
+    size = np.append(np.ones(first_rule, np.int64), lengths)
+    flat = np.append(np.arange(first_rule, dtype=np.uint32), np.zeros(int(lengths.sum()), np.uint32))
+
+    def fetched(symbols: np.ndarray) -> np.ndarray:
+        n = size[symbols]
+        ends = np.cumsum(n)
+        at = np.repeat(begins[symbols] - ends + n, n)
+        at += np.arange(len(at))
+        return flat[at]
+
+    lo = first_rule
+    for n in levels:
+        flat[begins[lo] : begins[lo] + int(size[lo : lo + n].sum())] = fetched(rules[lo - first_rule : lo - first_rule + n].ravel())
+        lo += n
+    return fetched(body)
+
+
 def _sizes(body: np.ndarray, lengths: np.ndarray, first_rule: int) -> np.ndarray:
     """Ids that each symbol of a body stands for."""
     return np.where(body < first_rule, 1, lengths[np.maximum(body.astype(np.int64) - first_rule, 0)]) if len(lengths) else np.ones(len(body), np.int64)
@@ -229,8 +257,8 @@ def read_store(spark, target: str) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                body, rules, _ = read_shard(row)
-                ids = expand(body, rules, row["levels"], row["first_rule"]).astype("<u4").tobytes()
+                body, rules, lengths = read_shard(row)
+                ids = expand_all(body, rules, row["levels"], row["first_rule"], lengths).astype("<u4", copy=False).tobytes()
                 n = np.array(row["sizes"], np.int64)
                 ends = np.cumsum(n)
                 crc = [zlib.crc32(ids[4 * (e - m) : 4 * e]) for e, m in zip(ends.tolist(), n.tolist(), strict=True)]

@@ -282,6 +282,7 @@ def test_grammar_is_lossless_and_random_access(first_rule):
     for ids in (rng.zipf(1.3, 30_000) % 500, np.zeros(5000, int), np.zeros(0, int), np.array([7]), np.tile([1, 2, 3], 2000), np.tile(rng.integers(0, 900, 300), 100), np.full(5000, first_rule - 1)):
         body, rules, levels = token_store.compress(ids.astype(np.uint32), first_rule)
         assert (token_store.expand(body, rules, levels, first_rule) == ids).all()
+        assert np.array_equal(token_store.expand_all(body, rules, levels, first_rule, token_store.expansion_lengths(rules, levels, first_rule)), ids)
         left = Counter()  # of pairs that don't overlap, none is left as often as gets a rule
         at = {}
         for k, pair in enumerate(zip(body.tolist(), body[1:].tolist(), strict=False)):
