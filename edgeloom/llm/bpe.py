@@ -24,8 +24,6 @@ MEMO_PIECES, MEMO_LENGTH = 600_000, 48
 #: Masks of the lowest 0 to 8 bytes of a 64-bit word, and an odd number for each word of a piece.
 BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 ODD = np.random.default_rng(1).integers(1 << 63, size=MEMO_LENGTH // 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Ids of remembered pieces at most, and slots of their table (a power of two, several times the number of pieces).
-MEMO_IDS, SLOTS = 1 << 22, 1 << 21
 #: Characters of text that are encoded at once.
 CHUNK = 1 << 19
 #: Fixed value: the pattern of the vocabulary's pieces.
@@ -96,13 +94,13 @@ class Vocabulary:
     Texts are cut into pieces by the pattern; every piece is encoded by the library's model on its own, once while the
     worker remembers it, which gives what the library gives for the whole text, as it never merges across pieces.
     What is remembered is found by a hash of a piece's bytes and compared with all of them, eight at a time; it is kept
-    in arrays that are emptied when they hold MEMO_PIECES pieces or MEMO_IDS ids.
+    in arrays that are emptied when they hold `memory` pieces or 8 ids for each of them.
 
     A JSON file's added tokens are found in a text first, as the library finds them, and what stands between them is
     encoded on its own. A file of ranks has none.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, memory: int = MEMO_PIECES):
         from tokenizers import models
 
         chars, self.added, self.finder = byte_characters(), {}, None
@@ -137,11 +135,12 @@ class Vocabulary:
             self.bytes[i] = shown_token.encode() if plain else bytes(back[c] for c in shown_token)
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
         self.pattern = None if pattern == PATTERN else regex.compile(pattern)
+        self.memory, self.width = memory, (3 * memory).bit_length()  # bits of a slot: several slots for each piece
         self.forget()
 
     def forget(self) -> None:
-        self.keys = np.zeros(SLOTS, np.uint64)  # 0: nothing
-        self.values = np.zeros(SLOTS, np.int32)
+        self.keys = np.zeros(1 << self.width, np.uint64)  # 0: nothing
+        self.values = np.zeros(1 << self.width, np.int32)
         self.pool = array("I")
         self.begins, self.sizes = array("q"), array("i")
         self.spelled = array("Q", [0])  # the bytes of pieces, in words that are filled up with zeros
@@ -165,11 +164,11 @@ class Vocabulary:
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """The values of hashes, -1 for unknown ones."""
-        slot = (h >> np.uint64(43)).astype(np.int64)
+        slot = (h >> np.uint64(64 - self.width)).astype(np.int64)
         out = np.where(self.keys[slot] == h, self.values[slot], np.int32(-1))
         open_ = np.flatnonzero((out < 0) & (self.keys[slot] != 0))
         while len(open_):  # the slot was another's: go on to the next
-            slot[open_] = (slot[open_] + 1) & (SLOTS - 1)
+            slot[open_] = (slot[open_] + 1) & (len(self.keys) - 1)
             key = self.keys[slot[open_]]
             same = key == h[open_]
             out[open_[same]] = self.values[slot[open_[same]]]
@@ -178,12 +177,12 @@ class Vocabulary:
 
     def _store(self, h: np.ndarray, values: np.ndarray) -> None:
         """Puts hashes into free slots; one that another piece has already is left out."""
-        slot = (h >> np.uint64(43)).astype(np.int64)
+        slot = (h >> np.uint64(64 - self.width)).astype(np.int64)
         while len(h):
             free = np.flatnonzero(self.keys[slot] == 0)
             self.keys[slot[free]], self.values[slot[free]] = h[free], values[free]
             other = self.keys[slot] != h
-            h, values, slot = h[other], values[other], (slot[other] + 1) & (SLOTS - 1)
+            h, values, slot = h[other], values[other], (slot[other] + 1) & (len(self.keys) - 1)
 
     def _starts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(begins, code): where pieces begin in the joined texts, and their code points."""
@@ -219,7 +218,7 @@ class Vocabulary:
             h[of] = mixed ^ (mixed >> np.uint64(31))
         h *= ODD[0]
         h[h == 0] = 1
-        if len(self.sizes) > MEMO_PIECES or len(self.pool) > MEMO_IDS:
+        if len(self.sizes) > self.memory or len(self.pool) > 8 * self.memory:
             self.forget()
         found = self._find(h)
         found[sizes > MEMO_LENGTH] = -1  # their hash is of their first bytes only
@@ -326,9 +325,9 @@ class Vocabulary:
 
 
 @lru_cache(maxsize=4)
-def vocabulary(path: str, pattern: str) -> Vocabulary:
+def vocabulary(path: str, pattern: str, memory: int = MEMO_PIECES) -> Vocabulary:
     """One Vocabulary for each Python worker."""
-    return Vocabulary(path, pattern)
+    return Vocabulary(path, pattern, memory)
 
 
 def default_pattern() -> str:

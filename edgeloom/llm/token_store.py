@@ -16,6 +16,8 @@ from edgeloom.llm.bpe import default_path, default_pattern, vocabulary
 
 #: Ids after which a shard is closed; a shard holds whole documents, so a longer document has a shard of its own.
 SHARD_IDS = 1 << 20
+#: Different pieces that a worker remembers.
+MEMORY = 1_200_000
 #: How often a pair must occur to get a rule, and symbols of a body between two entries of its index.
 LEAST, STEP = 16, 256
 
@@ -220,7 +222,7 @@ def write_store(docs: DataFrame, target: str, path: str | None = None, pattern:
     path, pattern = path or default_path("byte_bpe_50k.json"), pattern or default_pattern()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, part = vocabulary(path, pattern), TaskContext.get().partitionId()
+        v, part = vocabulary(path, pattern, MEMORY), TaskContext.get().partitionId()
         end, shard, doc_ids, ids, held = np.array([end_id], "<u4").tobytes(), 0, [], [], 0
         for batch in batches:
             for one, encoded in zip(batch.column(0).to_pylist(), v.encode_all(strings(batch.column(1))), strict=True):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from edgeloom.llm._common import stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Levels of the tree; what a path has below the last one is one segment there.
+#: Levels of the tree in judge_sql; judge() itself goes as deep as the paths do.
 DEPTH = 4
 #: A node's child is generalised into the wildcard if the node has more children than this and the child has less than
 #: one part in so many of the node's pages.
@@ -46,18 +46,12 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column,
     return rule, verdict
 
 
-def segments(path: Column) -> list[Column]:
-    """A path's DEPTH segments: '' where it has ended, the rest of a deeper path as the last."""
-    parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    first = [F.coalesce(F.get(parts, F.lit(i)), F.lit("")) for i in range(DEPTH - 1)]
-    return [*first, F.array_join(F.slice(parts, DEPTH, 1 << 20), "/")]
-
-
-def judge(pages: DataFrame, rules: Sequence[Rule], url: str = "url", page_id: str = "page_id") -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[Rule], url: str = "url", page_id: str = "page_id", depth: int | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity) of every page.
 
     Pages that a rule fits have its verdict and label the tree: below a host, a node for each path prefix, whose rare
-    children are one wildcard (CHILDREN). Branches beside each other whose labelled purity is within APART of their
+    children are one wildcard (CHILDREN). The tree is as deep as the deepest path; with depth, what a path has below
+    that level is one segment there. Branches beside each other whose labelled purity is within APART of their
     common one are merged, the others stand alone. From the host down, purity is smoothed by that of the node above:
     (blocked + PRIOR x purity above) / (labelled + PRIOR); at the top it is that of all labels, (blocked + 1) /
     (labelled + 2). Pages without a rule are blocked if the purity of their template reaches REJECT.
@@ -71,13 +65,17 @@ def judge(pages: DataFrame, rules: Sequence[Rule], url: str = "url", page_id: st
     host, path = parsed(F.col(url))
     seen = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
-    seen = seen.select("page_id", "host", "path", rule.alias("rule"), said.alias("said"), *(s.alias(f"s{i}") for i, s in enumerate(segments(F.col("path")))))
-    raw = [f"s{i}" for i in range(DEPTH)]
+    seen = seen.select("page_id", "host", "path", rule.alias("rule"), said.alias("said"), F.filter(F.split("path", "/"), lambda x: x != "").alias("parts"))
+    deep = seen.agg(F.max(F.size("parts"))).first()[0] or 0
+    deep = deep if depth is None else min(deep, depth)
+    raw = [f"s{i}" for i in range(deep)]
+    segment = [F.coalesce(F.get("parts", F.lit(i)), F.lit("")) for i in range(deep)]  # '' where a path has ended
+    if deep and deep == depth:
+        segment[-1] = F.array_join(F.slice("parts", deep, 1 << 20), "/")
+    seen = seen.select("page_id", "host", "path", "rule", "said", *(s.alias(name) for s, name in zip(segment, raw, strict=True)))
     sums = [F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")]
     leaves = seen.groupBy("host", *raw).agg(F.count("*").alias("n"), F.count("said").alias("labelled"), F.count(F.when(F.col("said") == "block", 1)).alias("bad"))
     leaves = stored(leaves, "paths")
-    flags = leaves.agg(*(F.max(F.col(s) != "").alias(s) for s in raw)).first()
-    deep = sum(bool(x) for x in flags)
 
     # generalise, level by level: t0.. are the segments of the template
     named = leaves

@@ -392,6 +392,10 @@ def test_urls(spark):
     assert {r["verdict"] for r in got} == {"allow", "block"}
     assert {r["template"] for r in got if r["host"] == "big.example.com"} == {"big.example.com/en/*", "big.example.com/fr/*"}
     assert url_filter.judge(empty(df), RULES).count() == 0
+    deep = spark.createDataFrame([(i, f"http://deep.com/a/b/c/d/e/{i}/{'x' if i % 2 else 'y'}") for i in range(60)], "page_id long, url string")
+    assert {r["template"] for r in url_filter.judge(deep, RULES).collect()} == {"deep.com/a/b/c/d/e/*/x", "deep.com/a/b/c/d/e/*/y"}
+    assert {r["template"] for r in url_filter.judge(deep, RULES, depth=6).collect()} == {"deep.com/a/b/c/d/e/*"}
+    assert {r["template"] for r in url_filter.judge(deep, RULES, depth=0).collect()} == {"deep.com"}
     tied = url_filter.judge(df.limit(1).selectExpr("page_id", "'http://x.com/e/a' AS url"), [("x.com/e", "block"), ("com/e/a", "allow")]).first()
     assert (tied["rule"], tied["verdict"]) == ("com/e/a", "allow")
 
