@@ -57,3 +57,41 @@ def near_kept(rows):
                 old, new = max(label[i], label[j]), min(label[i], label[j])
                 label = [new if x == old else x for x in label]
     return [r for k, r in enumerate(rows) if label[k] == k]
+
+
+def url_templates(rows, children=16, apart=9.0, prior=8.0):
+    """(template, purity) of each (host, segments, label) row, label being block, allow or None, by a tree over lists."""
+    out = [None] * len(rows)
+    counts = lambda at: (sum(rows[i][2] is not None for i in at), sum(rows[i][2] == "block" for i in at))
+    labelled, bad = counts(range(len(rows)))
+
+    def walk(at, depth, names, purity):
+        below = {}
+        for i in at:
+            below.setdefault(rows[i][1][depth] if len(rows[i][1]) > depth else "", []).append(i)
+        for i in below.pop("", []):
+            out[i] = "/".join(names), purity
+        many = len(below) + (sum(map(len, below.values())) < len(at)) > children
+        kinds = {}
+        for s, own in below.items():
+            kinds.setdefault("*" if many and len(own) * children < len(at) else s, []).extend(own)
+        told = sorted((b / n, s, n, b) for s, own in kinds.items() for n, b in [counts(own)] if n)
+        pools = [[s] for s in kinds if s not in {t[1] for t in told}]
+        for k, (_, s, n, b) in enumerate(told):
+            _, _, n0, b0 = told[k - 1] if k else (0, 0, 0, 0)
+            p = (b + b0 + 1) / (n + n0 + 2)
+            if k and (b / n - b0 / n0) ** 2 <= apart * p * (1 - p) * (1 / n + 1 / n0):
+                pools[-1].append(s)
+            else:
+                pools.append([s])
+        for pool in pools:
+            own = [i for s in pool for i in kinds[s]]
+            n, b = counts(own)
+            name = "{" + "|".join(sorted(pool)) + "}" if len(pool) > 1 else pool[0]
+            walk(own, depth + 1, [*names, name], (b + prior * purity) / (n + prior))
+
+    for host in {r[0] for r in rows}:
+        at = [i for i, r in enumerate(rows) if r[0] == host]
+        n, b = counts(at)
+        walk(at, 0, [host], (b + prior * (bad + 1) / (labelled + 2)) / (n + prior))
+    return out
