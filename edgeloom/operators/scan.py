@@ -24,7 +24,7 @@ def findings_of(store: Store, files: DataFrame, source: Source, cache: bool) ->
     keyed = files.withColumn("settings", F.lit(source.digest))
     fresh = keyed
     known = None
-    if cache and store.has("findings"):
+    if cache and store.knows("findings"):
         keys = ["source", "settings", "language", "digest"]
         old = store.read("findings").where((F.col("source") == source.name) & (F.col("settings") == source.digest))
         old = old.select(*keys, "joins", "tables", "columns", "errors").dropDuplicates(keys)
@@ -35,30 +35,32 @@ def findings_of(store: Store, files: DataFrame, source: Source, cache: bool) ->
 
 
 def scan(spark: SparkSession, config: Config, names: list[str] | None = None, cache: bool = True) -> dict:
-    """Scans the named sources (all, if none is named), replaces their rows in the store, and says what was met."""
+    """Scans the named sources (all, if none is named), replaces their rows in all tables of the store in one step, and says what was met."""
     began, clock = dt.datetime.now(dt.UTC), time.time()
     store = Store(spark, config.store)
     sources = config.select(names)
     chosen = [s.name for s in sources]
-    new = None
+    found = None
     for s in sources:
         one = findings_of(store, code_files(spark, s), s, cache)
-        new = one if new is None else new.unionByName(one)
-    staged = new.persist()
+        found = one if found is None else found.unionByName(one)
+    staged = found.persist()
     try:
         stats = staged.agg(F.count("*").alias("files_scanned"), F.coalesce(F.sum(F.col("cached").cast("long")), F.lit(0)).alias("files_cached"), F.coalesce(F.sum(F.size("joins")), F.lit(0)).alias("joins_found"), F.coalesce(F.sum(F.size("errors")), F.lit(0)).alias("errors")).first().asDict()
-        found = store.replace("findings", staged, chosen)
+        new = store.replacing(chosen)
+        found = new.write("findings", staged)
     finally:
         staged.unpersist()
-    store.replace("files", found.select(*FILE), chosen)
-    store.replace("parse_errors", found.select("source", "rel_path", F.explode("errors").alias("message")), chosen)
-    occurrences = store.replace("occurrences", found.select("source", "rel_path", "branch", "commit_sha", "remote", F.inline("joins")), chosen)
-    edges = store.replace("edges", rollup.edges(occurrences), chosen)
-    conditions = store.replace("edge_conditions", rollup.edge_conditions(occurrences), chosen)
+    new.write("files", found.select(*FILE))
+    new.write("parse_errors", found.select("source", "rel_path", F.explode("errors").alias("message")))
+    occurrences = new.write("occurrences", found.select("source", "rel_path", "branch", "commit_sha", "remote", F.inline("joins")))
+    edges = new.write("edges", rollup.edges(occurrences))
+    conditions = new.write("edge_conditions", rollup.edge_conditions(occurrences))
     mentions = found.select("source", F.explode("tables").alias("table_key"), F.col("path").alias("file"))
-    store.replace("nodes", rollup.nodes(mentions, edges), chosen)
+    new.write("nodes", rollup.nodes(mentions, edges))
     observed = found.select("source", F.inline("columns"), F.col("path").alias("file"))
-    store.replace("columns", rollup.columns(observed, conditions), chosen)
+    new.write("columns", rollup.columns(observed, conditions))
+    new.publish()
     stats |= {"sources": len(sources), "duration_ms": int(1000 * (time.time() - clock))}
     row = {"started_at": began.isoformat(timespec="seconds"), **{k: int(v) for k, v in stats.items()}}
     store.append("scans", spark.createDataFrame([row]).coalesce(1))

@@ -249,10 +249,15 @@ def model_columns(spark, sf_dir):
 @query(f"with {EDGES} select source, left_table, right_table, case when source = 'building' then occurrence_count + 1000 else occurrence_count end as occurrence_count from edges")
 def replace_partition(spark, sf_dir):
     slim = edges(spark, sf_dir).select("source", "left_table", "right_table", "occurrence_count")
-    path = store.scratch(spark, "edges")
-    store.replace(slim, path)
-    store.replace(slim.where("source = 'building'").withColumn("occurrence_count", F.col("occurrence_count") + 1000), path)
-    return spark.read.parquet(path).select("source", "left_table", "right_table", "occurrence_count")
+    kept = store.Store(spark, store.scratch(spark, "store"))
+    all_of = kept.replacing([r["source"] for r in slim.select("source").distinct().collect()])  # market segments
+    all_of.write("edges", slim)
+    all_of.publish()
+    one = kept.replacing(["building"])
+    one.write("edges", kept.read("edges").where("source = 'building'").withColumn("occurrence_count", F.col("occurrence_count") + 1000))
+    one.publish()
+    kept.replacing(["building"]).write("edges", slim)  # never published, so never seen
+    return kept.read("edges")
 
 
 # ---- names, filters and files
@@ -430,6 +435,34 @@ def extract_lines(spark, sf_dir):
     return found.select("k", "j.line", "j.left_table", "j.join_type", "j.right_table", "j.implicit", "errors")
 
 
+#: Comparisons as SQL and Python write them.
+COMPARED = (("=", "=="), ("<", "<"), (">=", ">="), ("<>", "!="))
+
+
+@query("""with c as (select c_custkey as n, c_custkey // 5 % 4 as op, c_custkey // 20 % 2 = 1 as swapped, c_custkey // 40 % 2 = 1 as py, c_custkey // 80 % 2 = 1 as more, c_custkey // 160 % 3 as blank,
+    'w.t' || c_nationkey as t, 'w.u' || c_custkey % 7 as u, 'k' || c_custkey % 11 as a, 'j' || c_nationkey % 3 as b, ['INNER', 'LEFT', 'RIGHT', 'FULL', 'CROSS'][c_custkey % 5 + 1] as kind from customer)
+  select n as k, case when py then 'python' else 'sql' end as language, blank + case when py then 3 else 2 end as line, t as left_table, u as right_table,
+    case kind when 'LEFT' then case when swapped then 'RIGHT OUTER' else 'LEFT OUTER' end when 'RIGHT' then case when swapped then 'LEFT OUTER' else 'RIGHT OUTER' end when 'FULL' then 'FULL OUTER' else kind end as join_type,
+    case when kind = 'CROSS' then '' else t || '.' || a || ' ' || case when swapped then ['=', '>', '<=', '<>'][op + 1] else ['=', '<', '>=', '<>'][op + 1] end || ' ' || u || '.' || b
+      || case when more then ' AND ' || t || '.z = ' || u || '.z' else '' end end as condition from c""")
+def extract_varied(spark, sf_dir):
+    """One join of each file; its tables, columns, type, comparison, sides, language and line are the row's."""
+    k = F.col("c_custkey")
+    part = lambda by, n: F.floor(k / by) % n
+    at = lambda values, i: F.get(F.array(*map(F.lit, values)), i.cast("int"))
+    swapped, python = part(20, 2) == 1, part(40, 2) == 1
+    t, u, a, b = F.concat(F.lit("w.t"), "c_nationkey"), F.concat(F.lit("w.u"), k % 7), F.concat(F.lit("k"), k % 11), F.concat(F.lit("j"), F.col("c_nationkey") % 3)
+    either = lambda x, y: F.when(swapped, y).otherwise(x)
+    sql_on = F.concat(F.lit(" ON x."), either(a, b), F.lit(" "), at([c for c, _ in COMPARED], part(5, 4)), F.lit(" y."), either(b, a), F.when(part(80, 2) == 1, " AND y.z = x.z AND x.v > 3").otherwise(""))
+    sql = F.concat(F.lit("SELECT 1 FROM "), either(t, u), F.lit(" x\n"), at(["INNER", "LEFT", "RIGHT", "FULL", "CROSS"], k % 5), F.lit(" JOIN "), either(u, t), F.lit(" y"), F.when(k % 5 == 4, "").otherwise(sql_on))
+    py_on = F.concat(F.lit("x.join(y, (x."), either(a, b), F.lit(" "), at([c for _, c in COMPARED], part(5, 4)), F.lit(" y."), either(b, a), F.lit(")"), F.when(part(80, 2) == 1, ' & (y["z"] == x["z"]) & (x.v > 3)').otherwise(""), F.lit(', "'), at(["inner", "left", "right", "outer", ""], k % 5), F.lit('")'))
+    code = F.concat(F.lit('x = spark.table("'), either(t, u), F.lit('")\ny = spark.table("'), either(u, t), F.lit('")\n'), F.when(k % 5 == 4, "x.crossJoin(y)").otherwise(py_on))
+    files = table(spark, sf_dir, "customer").repartition(spark.sparkContext.defaultParallelism, "c_custkey")
+    files = files.select(k.alias("k"), F.when(python, "python").otherwise("sql").alias("language"), F.concat(F.repeat(F.lit("\n"), part(160, 3).cast("int")), F.when(python, code).otherwise(sql)).alias("text"))
+    found = extract(files).select("k", "language", F.explode("joins").alias("j"))
+    return found.select("k", "language", "j.line", "j.left_table", "j.right_table", "j.join_type", "j.condition")
+
+
 def _register_cases() -> None:
     for n in CASES:
 

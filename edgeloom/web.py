@@ -67,7 +67,7 @@ class Api:
 
     def summary(self, asked: dict) -> object:
         counts = graph.summary(self.store.read("nodes"), self.store.read("edges"), self.store.read("occurrences"), self.store.read("files"))
-        return _rows(counts)[0] | {"sources": self.sources(asked)}
+        return _rows(counts)[0] | {"sources": self.sources(asked), "last_scan": self.store.last_scan()}
 
     def sources(self, asked: dict) -> object:
         return [r["source"] for r in graph.sources(self.store.read("nodes")).collect()]

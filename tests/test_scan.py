@@ -64,6 +64,34 @@ def test_sources_are_replaced_apart(spark, tmp_path, code):
     assert edges.where("source = 'two'").count() == 0
 
 
+def test_a_replacement_shows_only_when_published(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "st"))
+    rows = lambda *r: spark.createDataFrame(list(r), "source string, n long")
+    see = lambda: sorted((r["source"], r["n"]) for r in store.read("t").collect())
+    with pytest.raises(FileNotFoundError):
+        store.read("t")
+    first = store.replacing(["a", "b/c=1", "none"])
+    first.write("t", rows(("a", 1), ("b/c=1", 2), ("unnamed", 9)))
+    with pytest.raises(FileNotFoundError):
+        store.read("t")
+    first.publish()
+    assert see() == [("a", 1), ("b/c=1", 2)]
+    reader = store.read("t")
+    for n in (3, 4):
+        new = store.replacing(["a"])
+        assert [r["n"] for r in new.write("t", rows(("a", n))).collect()] == [n]
+        assert see()[0] == ("a", 1 if n == 3 else 3)
+        new.publish()
+        assert see() == [("a", n), ("b/c=1", 2)]
+        if n == 3:
+            assert reader.count() == 2  # a version outlives its replacement
+    assert not (tmp_path / "st" / "t" / f"version={first.version}" / "source=a").exists()
+    gone = store.replacing(["b/c=1"])
+    gone.write("t", rows())
+    gone.publish()
+    assert see() == [("a", 4)]
+
+
 @pytest.mark.parametrize("raw", [[], {}, {"sources": []}, {"sources": [{"name": "a"}]}, {"sources": [{"name": "a", "roots": ["."], "odd": 1}]}, {"sources": [{"name": "a", "roots": ["."], "max_file_bytes": 0}]}, {"sources": [{"name": "a", "roots": ["."], "exclude_tables": ["("]}]}, {"sources": [{"name": "a", "roots": ["."]}] * 2}])
 def test_bad_configs(raw):
     with pytest.raises(ConfigError):
@@ -129,6 +157,7 @@ def test_web(spark, tmp_path, code):
     scan(spark, conf)
     api = Api(spark, conf.store)
     assert api.answer("/api/summary")[1]["joins"] == 3
+    assert api.answer("/api/summary")[1]["last_scan"]["files_scanned"] == 4
     drawn = api.answer("/api/graph?limit=10")[1]
     assert len(drawn["edges"]) == 3 and not drawn["truncated"]
     one = api.answer(f"/api/edges/{drawn['edges'][0]['edge_id']}")[1]
