@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import re
+from collections.abc import Callable
 from pathlib import Path
 
 
@@ -30,6 +32,17 @@ def repository(path: str) -> dict:
     return none
 
 
+def below(path: str, skip: Callable[[str], bool]) -> tuple[list[dict], list[str]]:
+    """(repositories that begin below a local folder, symbolic links below it); folders that skip() takes aren't entered."""
+    repositories, links = [], []
+    for folder, folders, files in os.walk(path):
+        if folder != path and (".git" in folders or ".git" in files):
+            repositories.append(repository(folder))
+        links += [os.path.join(folder, n) for n in folders + files if os.path.islink(os.path.join(folder, n))]
+        folders[:] = [n for n in folders if n != ".git" and not skip(os.path.join(folder, n))]
+    return repositories, links
+
+
 def _head(git: Path) -> dict:
     read = lambda p: p.read_text(errors="replace") if p.is_file() else ""
     common = git / read(git / "commondir").strip() if (git / "commondir").is_file() else git

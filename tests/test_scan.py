@@ -137,6 +137,26 @@ def test_stream(spark, tmp_path, code):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
 
 
+def test_repositories_below_links_and_excluded_folders(spark, tmp_path, code):
+    from edgeloom.sources.code_files import code_files
+
+    inner = code / "libs" / "inner"
+    (inner / ".git").mkdir(parents=True)
+    (inner / ".git" / "HEAD").write_text("b" * 40 + "\n")
+    (inner / "sub").mkdir()
+    (inner / "sub" / "e.sql").write_text("SELECT 1 FROM s.orders JOIN s.items USING (oid)")
+    (code / "libs" / "f.sql").write_text("SELECT 1")
+    (code / "linked.sql").symlink_to(code / "a.sql")
+    (code / "linked").symlink_to(inner / "sub")
+    (code / "x" / "node_modules" / "y").mkdir(parents=True)
+    (code / "x" / "node_modules" / "y" / "g.sql").write_text("SELECT 1")
+    read = lambda **more: {r["path"].removeprefix(f"{code}/"): (r["rel_path"], r["commit_sha"], r["branch"]) for r in code_files(spark, config(tmp_path, code, exclude=["old", "**/node_modules"], include=["**/*.sql"], **more).sources[0]).collect()}
+    outer = ("a" * 40, "feature/joins")
+    want = {"a.sql": ("a.sql", *outer), "latin.sql": ("latin.sql", *outer), "libs/f.sql": ("libs/f.sql", *outer), "libs/inner/sub/e.sql": ("sub/e.sql", "b" * 40, None)}
+    assert read() == want
+    assert set(read(follow_symlinks=True)) == {*want, "linked.sql", "linked/e.sql"}
+
+
 def test_paths_are_shown_from_the_repository(spark, tmp_path, code):
     from edgeloom.sources.code_files import code_files
 
