@@ -404,8 +404,8 @@ def _expected(names: list[str]) -> str:
 
 
 def found_joins(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
-    found = extract(code(spark, sf_dir, names)).select("case", "language", "k", F.explode("joins").alias("j"))
-    return found.select("case", "language", "k", "j.left_table", "j.join_type", "j.right_table", "j.condition", "j.implicit", "j.ambiguous")
+    fields = ["left_table", "join_type", "right_table", "condition", "implicit", "ambiguous"]
+    return extract(code(spark, sf_dir, names), parts=["joins"], fields=fields).select("case", "language", "k", F.inline("joins"))
 
 
 #: Statements over several lines, and the line of each join.
@@ -485,6 +485,6 @@ def parity(spark, sf_dir):
 @query(f"with e as ({_expected(list(CASES))}) select (select count(*) from customer) * {len(CASES)} as files_scanned, count(*) as joins_found, count(distinct (left_table, join_type, right_table, condition)) as edges, (select count(*) from customer) * {sum(WRONG.values())} as errors from e")
 def scan_stats(spark, sf_dir):
     key = F.transform("joins", lambda j: F.struct(j["left_table"], j["join_type"], j["right_table"], j["condition"]))
-    said = extract(code(spark, sf_dir, list(CASES))).select(F.size("errors").alias("wrong"), F.posexplode_outer(key).alias("at", "e"))
+    said = extract(code(spark, sf_dir, list(CASES)), parts=["joins", "errors"], fields=["left_table", "join_type", "right_table", "condition"]).select(F.size("errors").alias("wrong"), F.posexplode_outer(key).alias("at", "e"))
     file = F.coalesce("at", F.lit(0)) == 0  # the first row of each file
     return said.agg(F.count(F.when(file, 1)).alias("files_scanned"), F.count("e").alias("joins_found"), F.countDistinct("e").alias("edges"), F.sum(F.when(file, F.col("wrong")).otherwise(0)).alias("errors"))
